@@ -95,22 +95,23 @@ def first_flags(
     )
 
 
-def clean_listings(
-    raw: DataFrame,
+def clean_parsed(
+    parsed: DataFrame,
     order_by: Sequence[str],
     *,
     keys: Sequence[str] = S.ENTITY_KEYS,
     critical: Sequence[str] = S.CRITICAL,
     keep_order: bool = False,
 ) -> DataFrame:
-    """Typed, complete, distinct listings with one pair of flags per entity.
-
-    ``order_by`` names the columns that say which raw row came first. Distinct
-    runs over all columns, first-derived flags included, and only then are the
-    flags replaced by those of the entity's first raw row. With ``keep_order``
-    the smallest order values of each distinct row survive as ``_order``.
+    """Complete, distinct listings with one pair of flags per entity.
+
+    ``parsed`` is read twice, for the rows and for the flags of each entity's
+    first row, so stage it when it comes from a large text export. ``order_by``
+    names the columns that say which raw row came first. Distinct runs over all
+    columns, first-derived flags included, and only then are the flags replaced.
+    With ``keep_order`` the smallest order values of each distinct row survive
+    as ``_order``.
     """
-    parsed = parse_listings(raw)
     columns = S.CLEAN.fieldNames()
     complete = drop_incomplete(parsed, critical)
     if keep_order:
@@ -125,6 +126,11 @@ def clean_listings(
     ).select(*columns)
 
 
+def clean_listings(raw: DataFrame, order_by: Sequence[str], **options: object) -> DataFrame:
+    """:func:`clean_parsed` straight from the raw export, without staging."""
+    return clean_parsed(parse_listings(raw), order_by, **options)
+
+
 def with_features(df: DataFrame, *, edges: Sequence[float | None] = labels.PRICE_EDGES) -> DataFrame:
     """Add price tier, rating label, primary cuisine and cuisine count."""
     return df.withColumns(
@@ -139,11 +145,11 @@ def with_features(df: DataFrame, *, edges: Sequence[float | None] = labels.PRICE
     )
 
 
-def null_drop_report(raw: DataFrame, critical: Sequence[str] = S.CRITICAL) -> DataFrame:
+def null_drop_report(parsed: DataFrame, critical: Sequence[str] = S.CRITICAL) -> DataFrame:
     """Rows before and after dropping incomplete rows, and the share dropped."""
     total = F.count(F.lit(1))
     kept = F.count_if(is_complete(critical))
-    return parse_listings(raw).agg(
+    return parsed.agg(
         total.alias("rows_before"),
         (total - kept).alias("rows_dropped"),
         percent(total - kept, total, 2).alias("pct_dropped"),
@@ -151,12 +157,19 @@ def null_drop_report(raw: DataFrame, critical: Sequence[str] = S.CRITICAL) -> Da
     )
 
 
-def duplicate_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def duplicate_report(
+    df: DataFrame, columns: Sequence[str] | None = None, *, by_digest: bool = False
+) -> DataFrame:
     """Rows, rows beyond the first of each identical group, and their share.
 
-    Nulls compare equal. ``columns`` narrows the comparison to a key.
+    Nulls compare equal. ``columns`` narrows the comparison to a key. For wide
+    rows ``by_digest`` shuffles the SHA-256 of each row instead of the row; a
+    null differs from an empty text because JSON leaves null fields out.
     """
-    groups = df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("_n"))
+    compared = [F.col(f"`{c}`") for c in columns or df.columns]
+    if by_digest:
+        compared = [F.sha2(F.to_json(F.struct(*compared)), 256).alias("_digest")]
+    groups = df.groupBy(*compared).agg(F.count(F.lit(1)).alias("_n"))
     rows = F.coalesce(F.sum("_n"), F.lit(0))
     unique = F.count(F.lit(1))
     return groups.agg(
@@ -172,7 +185,7 @@ def reject_report(raw: DataFrame) -> DataFrame:
     texts = number_texts(prepare_text(raw))
     parsers = {
         "rate": X.to_number,
-        "approx_cost": X.to_number,
+        "approx_cost": lambda text: X.to_number(text).try_cast("int"),
         "online_order": X.parse_flag,
         "book_table": X.parse_flag,
     }

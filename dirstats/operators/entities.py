@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.numeric import RATE_DECIMALS, exact_mean, ratio, round_half_up, to_units
-from .cleaning import is_complete, parse_listings, with_features
-from .joins import null_safe_join
+from .cleaning import is_complete, with_features
 
 STRATEGIES = ("max_votes", "mean")
 
@@ -79,23 +78,22 @@ def _mean_row(
     )
 
 
-def entities_from_raw(
-    raw: DataFrame,
+def entities_from_parsed(
+    parsed: DataFrame,
     order_by: Sequence[str],
     *,
     keys: Sequence[str] = S.ENTITY_KEYS,
     critical: Sequence[str] = S.CRITICAL,
 ) -> DataFrame:
-    """Entity table straight from the raw export, in one shuffle.
+    """Entity table straight from parsed rows, in one pass and one shuffle.
 
-    Equal to ``dedup_entities(with_features(clean_listings(raw)))``: the survivor
-    of a key does not depend on exact copies, so the distinct step falls away,
-    and the first row's flags come out of the same aggregation instead of a
-    join. Both aggregates are combined on the map side.
+    Equal to ``dedup_entities(with_features(clean_parsed(parsed, order_by)))``:
+    the survivor of a key does not depend on exact copies, so the distinct step
+    falls away, and the first row's flags come out of the same aggregation
+    instead of a join. Both aggregates are combined on the map side.
     """
     flags = ("online_order", "book_table")
     kept = [c for c in S.CLEAN.fieldNames() if c not in (*keys, *flags, "votes", "listed_type")]
-    parsed = parse_listings(raw)
     for key in keys:
         if key in critical:
             parsed = parsed.filter(F.col(key).isNotNull())
@@ -212,17 +210,22 @@ def reconcile(
 ) -> DataFrame:
     """Row counts and summed measures per key on both sides, and their difference.
 
-    Both sides are aggregated before the join, so no raw rows of a hot key meet.
+    Both sides go through one aggregation by key, so there is no join, a null
+    key meets a null key, and a hot key is combined on the map side. A key that
+    one side lacks has 0 rows there.
     """
-    def totals(df: DataFrame, side: str) -> DataFrame:
-        sums = [F.coalesce(F.sum(m), F.lit(0)).alias(f"{side}_{m}") for m in measures]
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{side}_rows"), *sums)
-
     a, b = names
-    joined = null_safe_join(totals(left, a), totals(right, b), keys, how="full")
-    compared: Mapping[str, Column] = {
-        f"{m}_difference": F.coalesce(F.col(f"{a}_{m}"), F.lit(0))
-        - F.coalesce(F.col(f"{b}_{m}"), F.lit(0))
-        for m in ("rows", *measures)
-    }
-    return joined.withColumns(dict(compared))
+    tagged = left.select(*keys, *measures, F.lit(a).alias("_side")).unionByName(
+        right.select(*keys, *measures, F.lit(b).alias("_side"))
+    )
+
+    def on(side: str, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("_side") == side, value)), F.lit(0))
+
+    values = {"rows": F.lit(1), **{m: F.col(m) for m in measures}}
+    totals = tagged.groupBy(*keys).agg(
+        *[on(side, value).alias(f"{side}_{m}") for side in names for m, value in values.items()]
+    )
+    return totals.withColumns(
+        {f"{m}_difference": F.col(f"{a}_{m}") - F.col(f"{b}_{m}") for m in values}
+    )

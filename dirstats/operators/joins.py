@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,16 @@ def null_safe_join(
     return joined.drop(*hidden.values())
 
 
+def literal_frame(
+    spark: SparkSession, columns: Sequence[str], rows: Sequence[Sequence[object]]
+) -> DataFrame:
+    """A handful of constant rows, made on the JVM side with a size the planner knows."""
+    cells = [
+        F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row, strict=True)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
 def keys_with_at_least(df: DataFrame, key: str, min_rows: int) -> DataFrame:
     """Keys that occur in at least ``min_rows`` rows; null is not a key."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

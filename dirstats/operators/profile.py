@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import correlation_strength
-from ..functions.numeric import percent, round_half_up
+from ..functions.numeric import exact_mean, median, percent, ratio, round_half_up
+from .joins import literal_frame
 
 
 def _quoted(name: str) -> Column:
@@ -51,20 +53,40 @@ def value_counts(
     return counts.limit(top) if top else counts
 
 
+def _long_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count per (column, non-null value) of several columns in one pass."""
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("column_name"), _quoted(c).cast("string").alias("value"))
+            for c in columns
+        ]
+    )
+    long = df.select(F.inline(cells)).filter(F.col("value").isNotNull())
+    return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def frequencies(df: DataFrame, tops: dict[str, int | None]) -> DataFrame:
-    """Top values of several columns in one long frame."""
-    parts = [
-        value_counts(df, column, top).select(
-            F.lit(column).alias("column_name"),
-            _quoted(column).cast("string").alias("value"),
-            "row_count",
+    """Top values of several columns in one long frame, ties by value.
+
+    Columns with a limit share one pass and columns without share another. The
+    limit is a row number filter, which Spark also applies before the shuffle.
+    """
+    limited = {c: top for c, top in tops.items() if top}
+    unlimited = [c for c, top in tops.items() if not top]
+    parts = []
+    if limited:
+        by_count = W.partitionBy("column_name").orderBy(F.desc("row_count"), "value")
+        numbered = _long_counts(df, list(limited)).withColumn("_rn", F.row_number().over(by_count))
+        limits = F.create_map(*[F.lit(x) for item in limited.items() for x in item])
+        own_limit = limits[F.col("column_name")]
+        parts.append(
+            numbered.filter(F.col("_rn") <= max(limited.values()))
+            .filter(F.col("_rn") <= own_limit)
+            .drop("_rn")
         )
-        for column, top in tops.items()
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    if unlimited:
+        parts.append(_long_counts(df, unlimited))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def value_shares(df: DataFrame, column: str, digits: int = 1) -> DataFrame:
@@ -77,6 +99,30 @@ def value_shares(df: DataFrame, column: str, digits: int = 1) -> DataFrame:
     return counts.withColumn("pct_of_total", percent(F.col("row_count"), total, digits))
 
 
+def value_range(df: DataFrame, column: str, *, approx: bool = False) -> DataFrame:
+    """Low, high, mean and median of a whole-number column, one row.
+
+    The median is taken over (value, count) pairs that were already combined
+    across tasks, so the one task that finishes it sees each value once.
+    ``approx`` reads the median from a sketch, for columns with free-form values.
+    """
+    value = F.col(column)
+    if approx:
+        return df.agg(
+            F.min(value).alias("low"),
+            F.max(value).alias("high"),
+            exact_mean(value).alias("mean"),
+            median(value, approx=True).alias("median"),
+        )
+    counts = df.filter(value.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+        ratio(F.sum(value.cast("bigint") * F.col("_n")), F.sum("_n")).alias("mean"),
+        median(value, F.col("_n")).alias("median"),
+    )
+
+
 def in_label_order(
     df: DataFrame, column: str, labels: Sequence[str], zero_filled: Sequence[str] = ()
 ) -> DataFrame:
@@ -84,9 +130,8 @@ def in_label_order(
 
     ``zero_filled`` columns read 0 for an absent label, the others null.
     """
-    spark = df.sparkSession
-    order = spark.createDataFrame(
-        [(label, i) for i, label in enumerate(labels)], f"`{column}` string, _order int"
+    order = literal_frame(
+        df.sparkSession, [column, "_order"], [(label, i) for i, label in enumerate(labels)]
     )
     joined = order.join(df, column, "left").orderBy("_order").drop("_order")
     return joined.fillna(0, subset=list(zero_filled)) if zero_filled else joined

@@ -40,13 +40,12 @@ def ntile_of(row: Column, total: Column, buckets: int) -> Column:
     ).otherwise(longer + F.floor(F.try_divide(row - 1 - in_longer, size)) + 1).cast("bigint")
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "row_number") -> DataFrame:
-    """ROW_NUMBER over the whole frame without one task seeing all rows.
+def _numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Add ``_row``, the global row number, and ``_total``, the number of rows.
 
     Rows are range-partitioned and sorted, numbered inside each partition, and
     staged, so that partition sizes and row numbers come from the same run even
-    if executors are lost in between. Offsets are one row per partition. Adding
-    a unique tie-break to ``order`` lets equal sort values split over partitions.
+    if executors are lost in between. Offsets are one row per partition.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     staged = write_stage(
@@ -58,21 +57,33 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "row_nu
     )
     sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    offsets = sizes.select(
+        "_part",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_size").over(W.partitionBy()).alias("_total"),
+    )
     return (
         staged.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_off") + F.col("_pos") + 1)
-        .drop("_part", "_pos", "_off")
+        .withColumn("_row", F.col("_offset") + F.col("_pos") + 1)
+        .drop("_part", "_pos", "_offset")
     )
 
 
+def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "row_number") -> DataFrame:
+    """ROW_NUMBER over the whole frame without one task seeing all rows.
+
+    End ``order`` with a unique tie-break, so that a sort value shared by many
+    rows can be split over partitions and every run numbers rows alike.
+    """
+    return _numbered(df, order).drop("_total").withColumnRenamed("_row", out)
+
+
 def global_ntile(
     df: DataFrame, order: Sequence[Column], buckets: int, out: str = "ntile"
 ) -> DataFrame:
     """NTILE over the whole frame, from the global row number and the row count."""
-    numbered = global_row_number(df, order, "_row")
-    total = numbered.agg(F.count(F.lit(1))).scalar()
-    return numbered.withColumn(out, ntile_of(F.col("_row"), total, buckets)).drop("_row")
+    bucket = ntile_of(F.col("_row"), F.col("_total"), buckets)
+    return _numbered(df, order).withColumn(out, bucket).drop("_row", "_total")
 
 
 def share_below(df: DataFrame, value: str = "rate", out: str = "beats_pct", digits: int = 1) -> DataFrame:

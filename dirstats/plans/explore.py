@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,7 +17,6 @@ from ..functions.numeric import (
     RATE_DECIMALS,
     distinct_count,
     exact_mean,
-    median,
     percent,
     ratio,
     round_half_up,
@@ -29,7 +28,7 @@ from ..operators.profile import (
     frequencies,
     in_label_order,
     target_correlations,
-    value_counts,
+    value_range,
     value_shares,
 )
 from ..operators.ranking import histogram
@@ -136,12 +135,11 @@ def price_tier_ratings(listings: DataFrame) -> DataFrame:
 
 
 def cost_summary(listings: DataFrame, approx: bool = False) -> DataFrame:
-    cost = F.col("approx_cost")
-    return listings.agg(
-        round_half_up(exact_mean(cost), 0).alias("avg_cost"),
-        round_half_up(median(cost, approx=approx), 0).alias("median_cost"),
-        F.min(cost).alias("min_cost"),
-        F.max(cost).alias("max_cost"),
+    return value_range(listings, "approx_cost", approx=approx).select(
+        round_half_up(F.col("mean"), 0).alias("avg_cost"),
+        round_half_up(F.col("median"), 0).alias("median_cost"),
+        F.col("low").alias("min_cost"),
+        F.col("high").alias("max_cost"),
     )
 
 
@@ -165,21 +163,28 @@ def location_ratings(listings: DataFrame, *, top: int = 15, min_rows: int = 100)
 
 def location_summary(listings: DataFrame, *, top: int = 15, min_rows: int = 100) -> DataFrame:
     """Number of locations, the largest, and the best and worst rated of the top ones."""
-    sums = M.group_sums(listings, ["location"]).filter(F.col("location").isNotNull())
-    largest = sums.select("location", "_n", "_rate", "_rated").orderBy(F.desc("_n"), "location")
+    everything = W.partitionBy()
+    largest = (
+        M.group_sums(listings, ["location"])
+        .filter(F.col("location").isNotNull())
+        .withColumn("_locations", F.count(F.lit(1)).over(everything))
+        .orderBy(F.desc("_n"), "location")
+        .limit(top)
+    )
     rate = M.mean_rate()
-    shown = F.when((F.col("_n") >= min_rows) & rate.isNotNull(), F.lit(True))
-    low = F.min(F.when(shown, F.struct(rate.alias("r"), "location")))
-    high = F.min(F.when(shown, F.struct((-rate).alias("r"), "location")))
+    shown = (F.col("_n") >= min_rows) & rate.isNotNull()
     first = F.min(F.struct((-F.col("_n")).alias("n"), "location"))
-    return largest.limit(top).agg(
+    high = F.min(F.when(shown, F.struct((-rate).alias("r"), "location")))
+    low = F.min(F.when(shown, F.struct(rate.alias("r"), "location")))
+    return largest.agg(
+        F.max("_locations").alias("total_locations"),
         first["location"].alias("top_location"),
         (-first["n"]).alias("top_location_rows"),
         high["location"].alias("best_location"),
         round_half_up(-high["r"], 2).alias("best_avg_rating"),
         low["location"].alias("worst_location"),
         round_half_up(low["r"], 2).alias("worst_avg_rating"),
-    ).withColumn("total_locations", sums.agg(F.count(F.lit(1))).scalar())
+    )
 
 
 def cuisine_ratings(listings: DataFrame, *, top: int = 10) -> DataFrame:
@@ -236,7 +241,7 @@ def rating_by_service(listings: DataFrame) -> DataFrame:
     """Mean rating with and without online ordering, and the difference, one row."""
     rate, online = F.col("rate"), F.col("online_order")
 
-    def mean_where(flag: int):
+    def mean_where(flag: int) -> Column:
         chosen = F.when(online == flag, rate)
         return ratio(F.sum(to_units(chosen)), F.count(chosen) * 10**RATE_DECIMALS)
 
@@ -266,57 +271,60 @@ def rating_correlations(
 
 
 def key_insights(listings: DataFrame, *, min_rows: int = 100) -> DataFrame:
-    """The closing summary, one wide row.
+    """The closing summary, one wide row from one pass.
 
-    One aggregation by (location, cuisine, type) feeds everything: the three
-    dimensions and the totals are re-aggregated from it.
+    The base rows are aggregated once by (location, cuisine, type). Grouping
+    sets over that small frame give each dimension's groups and the totals, and
+    a last aggregation picks the leaders.
     """
-    rate = F.col("rate")
-    cells = M.group_sums(
-        listings,
-        ["location", "primary_cuisine", "rest_type"],
-        F.count_if(rate >= 3.5).alias("_good"),
-        F.count_if(rate < 3.0).alias("_poor"),
-        F.sum("cuisine_count").alias("_cuisines"),
-        F.count("cuisine_count").alias("_cuisines_n"),
-        F.sum(F.when(F.col("online_order") == 1, to_units(rate))).alias("_rate_1"),
-        F.count(F.when(F.col("online_order") == 1, rate)).alias("_rated_1"),
-        F.sum(F.when(F.col("online_order") == 0, to_units(rate))).alias("_rate_0"),
-        F.count(F.when(F.col("online_order") == 0, rate)).alias("_rated_0"),
-    )
-    extra = ["_good", "_poor", "_cuisines", "_cuisines_n", "_rate_1", "_rated_1", "_rate_0"]
-    totals = cells.agg(
-        *M.merged_columns(), *[F.sum(c).alias(c) for c in (*extra, "_rated_0")]
+    rate, online = F.col("rate"), F.col("online_order")
+    dimensions = ["location", "primary_cuisine", "rest_type"]
+    extra = {
+        "_good": F.count_if(rate >= 3.5),
+        "_bad": F.count_if(rate < 3.0),
+        "_cuisines": F.sum("cuisine_count"),
+        "_cuisines_n": F.count("cuisine_count"),
+        "_rate_on": F.sum(F.when(online == 1, to_units(rate))),
+        "_rated_on": F.count(F.when(online == 1, rate)),
+        "_rate_off": F.sum(F.when(online == 0, to_units(rate))),
+        "_rated_off": F.count(F.when(online == 0, rate)),
+    }
+    cells = M.group_sums(listings, dimensions, *[c.alias(name) for name, c in extra.items()])
+    sums = [name for name in cells.columns if name not in dimensions]
+    sets = cells.groupingSets([[d] for d in dimensions] + [[]], *dimensions).agg(
+        *[F.sum(name).alias(name) for name in sums], F.grouping_id(*dimensions).alias("_set")
     )
+    every = (1 << len(dimensions)) - 1
+    set_of = {d: every - (1 << (len(dimensions) - 1 - i)) for i, d in enumerate(dimensions)}
 
-    def leader(column: str) -> DataFrame:
-        counts = cells.groupBy(column).agg(F.sum("_n").alias("_n"))
-        named = counts.filter(F.col(column).isNotNull())
-        first = F.min(F.struct((-F.col("_n")).alias("n"), F.col(column).alias("v")))
-        return named.agg(
-            F.struct(
-                F.count(F.lit(1)).alias("distinct"),
-                first["v"].alias("value"),
-                (-first["n"]).alias("rows"),
-            )
-        )
+    def groups_of(dimension: str) -> Column:
+        return (F.col("_set") == set_of[dimension]) & F.col(dimension).isNotNull()
+
+    def leader(dimension: str) -> Column:
+        candidate = F.struct((-F.col("_n")).alias("n"), F.col(dimension).alias("v"))
+        return F.min(F.when(groups_of(dimension), candidate)).alias(f"_top_{dimension}")
 
-    by_location = M.merge_sums(cells, ["location"]).filter(
-        (F.col("_n") >= min_rows) & F.col("location").isNotNull() & M.mean_rate().isNotNull()
+    rated_enough = (
+        groups_of("location") & (F.col("_n") >= min_rows) & M.mean_rate().isNotNull()
+    )
+    best = F.min(F.when(rated_enough, F.struct((-M.mean_rate()).alias("r"), "location")))
+    row = sets.agg(
+        *[F.max(F.when(F.col("_set") == every, F.col(name))).alias(name) for name in sums],
+        *[F.count_if(groups_of(d)).alias(f"_distinct_{d}") for d in dimensions],
+        *[leader(d) for d in dimensions],
+        best.alias("_best"),
     )
-    best = by_location.agg(F.min(F.struct((-M.mean_rate()).alias("r"), "location")))
     unit = 10**RATE_DECIMALS
-    return totals.withColumns(
-        {
-            "_location": leader("location").scalar(),
-            "_cuisine": leader("primary_cuisine").scalar(),
-            "_type": leader("rest_type").scalar(),
-            "_best": best.scalar(),
-        }
-    ).select(
+
+    def rating_where(suffix: str) -> Column:
+        return round_half_up(
+            ratio(F.col(f"_rate_{suffix}"), F.col(f"_rated_{suffix}") * unit), 2
+        )
+
+    return row.select(
         M.avg_rating().alias("mean_rating"),
         M.share("_good", "_rated").alias("pct_rated_3_5_plus"),
-        M.share("_poor", "_rated").alias("pct_rated_poor"),
+        M.share("_bad", "_rated").alias("pct_rated_poor"),
         M.label_count("Unrated").alias("unrated_count"),
         M.tier_count("Budget").alias("budget_count"),
         M.tier_pct("Budget").alias("budget_pct"),
@@ -325,23 +333,19 @@ def key_insights(listings: DataFrame, *, min_rows: int = 100) -> DataFrame:
         M.tier_count("Premium").alias("premium_count"),
         M.tier_pct("Premium").alias("premium_pct"),
         M.avg_cost().alias("avg_cost"),
-        F.col("_location.distinct").alias("total_locations"),
-        F.col("_location.value").alias("top_location"),
-        F.col("_location.rows").alias("top_location_rows"),
+        F.col("_distinct_location").alias("total_locations"),
+        F.col("_top_location.v").alias("top_location"),
+        (-F.col("_top_location.n")).alias("top_location_rows"),
         F.col("_best.location").alias("best_rated_location"),
         round_half_up(-F.col("_best.r"), 2).alias("best_location_rating"),
-        F.col("_cuisine.distinct").alias("unique_cuisines"),
-        F.col("_cuisine.value").alias("top_cuisine"),
-        F.col("_cuisine.rows").alias("top_cuisine_rows"),
-        F.col("_type.value").alias("top_rest_type"),
-        F.col("_type.rows").alias("top_rest_type_rows"),
+        F.col("_distinct_primary_cuisine").alias("unique_cuisines"),
+        F.col("_top_primary_cuisine.v").alias("top_cuisine"),
+        (-F.col("_top_primary_cuisine.n")).alias("top_cuisine_rows"),
+        F.col("_top_rest_type.v").alias("top_rest_type"),
+        (-F.col("_top_rest_type.n")).alias("top_rest_type_rows"),
         round_half_up(ratio(F.col("_cuisines"), F.col("_cuisines_n")), 1).alias("avg_cuisines"),
         M.online_pct().alias("online_order_pct"),
         M.booking_pct().alias("book_table_pct"),
-        round_half_up(ratio(F.col("_rate_1"), F.col("_rated_1") * unit), 2).alias(
-            "online_avg_rating"
-        ),
-        round_half_up(ratio(F.col("_rate_0"), F.col("_rated_0") * unit), 2).alias(
-            "dinein_avg_rating"
-        ),
+        rating_where("on").alias("online_avg_rating"),
+        rating_where("off").alias("dinein_avg_rating"),
     )

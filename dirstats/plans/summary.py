@@ -9,12 +9,11 @@ from ..functions.numeric import (
     RATE_DECIMALS,
     distinct_count,
     exact_mean,
-    median,
     percent,
     round_half_up,
 )
 from ..operators import sums as M
-from ..operators.profile import value_shares
+from ..operators.profile import value_range, value_shares
 
 def total_rows(entities: DataFrame, out: str = "total_restaurants") -> DataFrame:
     return entities.agg(F.count(F.lit(1)).alias(out))
@@ -45,12 +44,12 @@ def unrated(entities: DataFrame) -> DataFrame:
 
 
 def cost_range(entities: DataFrame, approx: bool = False) -> DataFrame:
-    cost = F.col("approx_cost")
-    return entities.agg(
-        F.min(cost).alias("min_cost"),
-        F.max(cost).alias("max_cost"),
-        round_half_up(exact_mean(cost), 0).alias("avg_cost"),
-        median(cost, approx=approx).alias("median_cost"),
+    """Range, mean and median; the median is exact unless ``approx``."""
+    return value_range(entities, "approx_cost", approx=approx).select(
+        F.col("low").alias("min_cost"),
+        F.col("high").alias("max_cost"),
+        round_half_up(F.col("mean"), 0).alias("avg_cost"),
+        F.col("median").alias("median_cost"),
     )
 
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_lock = threading.Lock()
+_lock = threading.RLock()
 _local_root: str | None = None
 _staged: dict[tuple[str, str], str] = {}
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators.cleaning import clean_listings, with_features
-from ..operators.entities import entities_from_raw
+from ..operators.cleaning import clean_parsed, parse_listings, with_features
+from ..operators.entities import entities_from_parsed
+from ..operators.joins import literal_frame
 from ..sources.readers import read_table, spread
 from ..sources.staging import staged_once
 
@@ -88,13 +89,23 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed rows, written once per application; raw text is not read again after that."""
+    return staged_once(
+        spark,
+        f"parsed:{sf_dir}",
+        "parsed",
+        lambda: parse_listings(raw_listings(spark, sf_dir)),
+    )
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned listings with features, written once per application and reused."""
     return staged_once(
         spark,
         f"listings:{sf_dir}",
         "listings",
-        lambda: with_features(clean_listings(raw_listings(spark, sf_dir), INGEST_ORDER)),
+        lambda: with_features(clean_parsed(parsed(spark, sf_dir), INGEST_ORDER)),
     )
 
 
@@ -104,7 +115,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         f"entities:{sf_dir}",
         "entities",
-        lambda: entities_from_raw(raw_listings(spark, sf_dir), INGEST_ORDER),
+        lambda: entities_from_parsed(parsed(spark, sf_dir), INGEST_ORDER),
     )
 
 
@@ -120,4 +131,4 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overrides(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("NATION_9", 12.95, 77.55)], S.COORD)
+    return literal_frame(spark, S.COORD.fieldNames(), [("NATION_9", 12.95, 77.55)])

@@ -602,6 +602,7 @@ def _cleaning() -> dict[str, str]:
 
     nulls = " + ".join(f"{count_if(f'{c.strip()} IS NULL')}" for c in _CLEAN_NAMES.split(","))
     return {
+        "parse_listings": over(PARSED, f"SELECT {_CLEAN_NAMES} FROM parsed"),
         "clean_listings": from_listings(f"SELECT {_CLEAN_NAMES} FROM clean"),
         "engineer_features": from_listings(
             f"SELECT {_CLEAN_NAMES}, {_FEATURE_NAMES} FROM listings"
@@ -727,7 +728,8 @@ def _entity() -> dict[str, str]:
         ),
         "reconcile_totals": from_entities(
             "SELECT coalesce(l.name, e.name) AS name, coalesce(l.location, e.location) AS location, "
-            "l.n AS listing_rows, l.v AS listing_votes, e.n AS entity_rows, e.v AS entity_votes, "
+            "coalesce(l.n, 0) AS listing_rows, coalesce(l.v, 0) AS listing_votes, "
+            "coalesce(e.n, 0) AS entity_rows, coalesce(e.v, 0) AS entity_votes, "
             "coalesce(l.n, 0) - coalesce(e.n, 0) AS rows_difference, "
             "coalesce(l.v, 0) - coalesce(e.v, 0) AS votes_difference "
             "FROM l FULL JOIN e ON l.name IS NOT DISTINCT FROM e.name AND l.location = e.location",

@@ -31,12 +31,25 @@ def _raw(plan: Callable[..., DataFrame], *args: object) -> Query:
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean_listings(binding.raw_listings(spark, sf_dir), binding.INGEST_ORDER)
+    return cleaning.clean_parsed(binding.parsed(spark, sf_dir), binding.INGEST_ORDER)
 
 
-def _row_dedup(raw: DataFrame) -> DataFrame:
-    rows = cleaning.drop_incomplete(cleaning.parse_listings(raw)).select(*S.CLEAN.fieldNames())
-    return cleaning.duplicate_report(rows)
+def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = binding.raw_listings(spark, sf_dir)
+    return cleaning.parse_listings(raw).select(*S.CLEAN.fieldNames())
+
+
+def _row_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cleaning.drop_incomplete(binding.parsed(spark, sf_dir))
+    return cleaning.duplicate_report(rows.select(*S.CLEAN.fieldNames()))
+
+
+def _null_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.null_drop_report(binding.parsed(spark, sf_dir))
+
+
+def _raw_duplicates(raw: DataFrame) -> DataFrame:
+    return cleaning.duplicate_report(raw, by_digest=True)
 
 
 def _clean_profile(listings: DataFrame) -> DataFrame:
@@ -44,8 +57,8 @@ def _clean_profile(listings: DataFrame) -> DataFrame:
 
 
 def _mean_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cleaning.clean_listings(
-        binding.raw_listings(spark, sf_dir), binding.INGEST_ORDER, keep_order=True
+    rows = cleaning.clean_parsed(
+        binding.parsed(spark, sf_dir), binding.INGEST_ORDER, keep_order=True
     )
     return entities.dedup_entities(
         cleaning.with_features(rows), strategy="mean", order=F.col("_order")
@@ -167,13 +180,14 @@ QUESTIONS: dict[str, Query] = {
 }
 
 CLEANING: dict[str, Query] = {
+    "parse_listings": _parse,
     "clean_listings": _clean,
     "engineer_features": lambda spark, sf_dir: cleaning.with_features(_clean(spark, sf_dir)),
     "profile_missing": _raw(profile.missing_profile),
     "profile_frequencies": _raw(explore.raw_frequencies),
-    "duplicate_rows": _raw(cleaning.duplicate_report),
-    "null_drop_report": _raw(cleaning.null_drop_report),
-    "row_dedup_report": _raw(_row_dedup),
+    "duplicate_rows": _raw(_raw_duplicates),
+    "null_drop_report": _null_drop,
+    "row_dedup_report": _row_dedup,
     "reject_report": _raw(cleaning.reject_report),
     "cleaned_profile": _listings(_clean_profile),
     "write_verify": _write_verify,
