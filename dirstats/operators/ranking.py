@@ -40,21 +40,29 @@ def ntile_of(row: Column, total: Column, buckets: int) -> Column:
     ).otherwise(longer + F.floor(F.try_divide(row - 1 - in_longer, size)) + 1).cast("bigint")
 
 
-def _numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Add ``_row``, the global row number, and ``_total``, the number of rows.
+def stage_in_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Range-partition, sort, and write with ``_part`` and ``_pos``, the place of each row.
 
-    Rows are range-partitioned and sorted, numbered inside each partition, and
-    staged, so that partition sizes and row numbers come from the same run even
-    if executors are lost in between. Offsets are one row per partition.
+    Written once, so that partition sizes and positions read later come from the
+    same run even if executors are lost in between.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    staged = write_stage(
+    placed = (
         ranged.withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_id", _ROW_BITS))
         .withColumn("_pos", F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-        .drop("_id"),
-        "ranged",
+        .drop("_id")
     )
+    return write_stage(placed, "ranged")
+
+
+def _numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Add ``_row``, the global row number, and ``_total``, the number of rows.
+
+    A row's number is its position plus the sizes of the partitions before its
+    own. Offsets are one row per partition, few enough to broadcast.
+    """
+    staged = stage_in_order(df, order)
     sizes = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
