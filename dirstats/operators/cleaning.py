@@ -131,7 +131,9 @@ def clean_listings(raw: DataFrame, order_by: Sequence[str], **options: object) -
     return clean_parsed(parse_listings(raw), order_by, **options)
 
 
-def with_features(df: DataFrame, *, edges: Sequence[float | None] = labels.PRICE_EDGES) -> DataFrame:
+def with_features(
+    df: DataFrame, *, edges: Sequence[float | None] = labels.PRICE_EDGES
+) -> DataFrame:
     """Add price tier, rating label, primary cuisine and cuisine count."""
     return df.withColumns(
         {

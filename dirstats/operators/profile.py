@@ -137,22 +137,6 @@ def in_label_order(
     return joined.fillna(0, subset=list(zero_filled)) if zero_filled else joined
 
 
-def top_coverage(df: DataFrame, column: str, top: int = 3) -> DataFrame:
-    """Rows held by the ``top`` most frequent values, as percent of all rows."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(W.partitionBy())
-    first = (
-        counts.withColumn("_total", total)
-        .filter(F.col(column).isNotNull())
-        .orderBy(F.desc("_n"), column)
-        .limit(top)
-    )
-    return first.agg(
-        F.sum("_n").alias("covered_rows"),
-        percent(F.sum("_n"), F.max("_total")).alias("coverage_pct"),
-    )
-
-
 def _pearson(a: Column, b: Column) -> Column:
     """Correlation over rows where both are present; null if either is constant.
 

@@ -15,7 +15,9 @@ from ..sources.staging import write_stage
 _ROW_BITS = 33
 
 
-def top_ranked(df: DataFrame, order: Column, ties: Sequence[Column], top: int, out: str) -> DataFrame:
+def top_ranked(
+    df: DataFrame, order: Column, ties: Sequence[Column], top: int, out: str
+) -> DataFrame:
     """The first ``top`` rows with their RANK by ``order``.
 
     A rank depends only on the rows above, so cutting first (a distributed
@@ -94,7 +96,9 @@ def global_ntile(
     return _numbered(df, order).withColumn(out, bucket).drop("_row", "_total")
 
 
-def share_below(df: DataFrame, value: str = "rate", out: str = "beats_pct", digits: int = 1) -> DataFrame:
+def share_below(
+    df: DataFrame, value: str = "rate", out: str = "beats_pct", digits: int = 1
+) -> DataFrame:
     """Per distinct value: percent of all non-null rows that are strictly lower.
 
     Works on a value histogram, so the running sum sees one row per distinct

@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.numeric import median, percent, round_half_up
 from ..operators import sums as M
+from ..operators.joins import null_safe_join
 
 
 def online_vs_dinein(entities: DataFrame) -> DataFrame:
     """Online ordering against dine-in only.
 
-    The base rows are aggregated once per (flag, rating, cost); sums and exact
-    medians of both columns are then taken from that frame, each value weighted
-    by its count, so raw rows never reach a percentile buffer.
+    Each exact median is taken from its own small frame of (flag, value, count),
+    already combined across tasks, so raw rows never reach a percentile buffer.
     """
-    cells = M.group_sums(entities, ["online_order", "rate", "approx_cost"])
-    flags = cells.groupBy("online_order").agg(
-        *M.merged_columns(),
-        median(F.col("rate"), F.col("_n")).alias("_median_rate"),
-        median(F.col("approx_cost"), F.col("_n")).alias("_median_cost"),
+    by_rate = M.group_sums(entities, ["online_order", "rate"])
+    by_cost = entities.groupBy("online_order", "approx_cost").agg(F.count(F.lit(1)).alias("_n"))
+    rates = by_rate.groupBy("online_order").agg(
+        *M.merged_columns(), median(F.col("rate"), F.col("_n")).alias("_median_rate")
+    )
+    costs = by_cost.groupBy("online_order").agg(
+        median(F.col("approx_cost"), F.col("_n")).alias("_median_cost")
     )
+    flags = null_safe_join(rates, costs, ["online_order"])
     return (
         M.with_platform(flags, "_n", "_rate", "_rated")
         .orderBy(F.desc("online_order"))

@@ -17,9 +17,6 @@ SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
-    # Fall back to split projections where a fused stage would outgrow what the
-    # JVM compiles (8000 bytes of bytecode); wide parsing projections do.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

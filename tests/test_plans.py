@@ -156,6 +156,12 @@ def test_location_ratings_need_enough_rows(spark):
     assert summary_row.total_locations == 3
 
 
+def test_leaders_cover_a_share_of_all_rows(spark):
+    df = spark.createDataFrame([(k,) for k in [*"aaabbc", None, None]], "k string")
+    found = explore.leader_summary(df, "k", top=2).first()
+    assert tuple(found) == (3, "a", 3, 37.5, 62.5)
+
+
 def test_service_difference(spark):
     rows = [{"online_order": 1, "rate": 4.0}, {"online_order": 0, "rate": 3.5}]
     found = explore.rating_by_service(frames.listings(spark, *rows)).first()

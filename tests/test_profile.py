@@ -34,11 +34,6 @@ def test_label_order_fills_absent_labels(spark):
     assert [tuple(r) for r in rows] == [("a", 0, None), ("b", 2, 1.5)]
 
 
-def test_top_coverage(spark):
-    df = spark.createDataFrame([(k,) for k in [*"aaabbc", None, None]], "k string")
-    assert tuple(profile.top_coverage(df, "k", 2).first()) == (5, 62.5)
-
-
 def corr_of(df, a, b):
     matrix = profile.correlation_matrix(df, ["a", "b"])
     return matrix.filter((F.col("col_a") == a) & (F.col("col_b") == b)).first().corr

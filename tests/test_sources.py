@@ -101,6 +101,13 @@ def test_parquet_sink_and_pruned_scan(spark, tmp_path):
     assert back.count() == 1
 
 
+def test_entities_csv(spark, tmp_path):
+    df = frames.entities(spark, {"rate": None}, {"name": 'a "b", c'})
+    writers.write_csv(df, str(tmp_path / "e"))
+    back = readers.read_entities(spark, str(tmp_path / "e"))
+    assert writers.verify_written(df, back).first().rows_missing == 0
+
+
 def test_replace_table_and_sql(spark):
     for rows in ([{}, {}], [{"votes": 3}]):
         writers.replace_table(frames.entities(spark, *rows), "entities_sink")
