@@ -137,27 +137,36 @@ def in_label_order(
     return joined.fillna(0, subset=list(zero_filled)) if zero_filled else joined
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Correlation over rows where both are present; null if either is constant.
+def _pearson(a: str, b: str, complete: Sequence[str]) -> Column:
+    """Correlation over rows where both are present; null if either is constant there.
 
     The built-in ``corr`` divides by zero on a constant column under ANSI mode,
-    so the quotient is formed here.
+    so the quotient is formed here. Constancy is read from the exact minimum and
+    maximum: merging partial moments can leave a constant a tiny variance.
     """
-    x = F.when(b.isNotNull(), a).cast("double")
-    y = F.when(a.isNotNull(), b).cast("double")
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
+    def present(name: str, other: str) -> Column:
+        value = F.col(name).cast("double")
+        return value if other in complete else F.when(F.col(other).isNotNull(), value)
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """Pairwise-complete Pearson matrix in long form, from one aggregation."""
+    x, y = present(a, b), present(b, a)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    vary = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(vary, F.try_divide(F.covar_pop(x, y), spread))
+
+
+def correlation_matrix(
+    df: DataFrame, columns: Sequence[str], complete: Sequence[str] = (), digits: int = 6
+) -> DataFrame:
+    """Pairwise-complete Pearson matrix in long form, from one aggregation.
+
+    ``complete`` names columns known to hold no null. Their partners need no
+    masking, which lets pairs share their moments.
+    """
     pairs = list(combinations(columns, 2))
-    varying = [F.stddev_pop(F.col(c).cast("double")) > 0 for c in columns]
     row = df.agg(
-        *[round_half_up(_pearson(F.col(a), F.col(b)), digits).alias(f"{a}|{b}") for a, b in pairs],
-        *[
-            F.when(moves, F.lit(1.0)).alias(f"{c}|{c}")
-            for c, moves in zip(columns, varying, strict=True)
-        ],
+        *[round_half_up(_pearson(a, b, complete), digits).alias(f"{a}|{b}") for a, b in pairs],
+        *[F.when(F.min(c) < F.max(c), F.lit(1.0)).alias(f"{c}|{c}") for c in columns],
     )
     mirrored = [(f"{a}|{b}", a, b) for a, b in pairs] + [(f"{a}|{b}", b, a) for a, b in pairs]
     cells = mirrored + [(f"{c}|{c}", c, c) for c in columns]

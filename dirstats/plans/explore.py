@@ -34,6 +34,8 @@ from ..operators.profile import (
 from ..operators.ranking import histogram
 
 NUMERIC_COLUMNS = ("online_order", "book_table", "rate", "votes", "approx_cost", "cuisine_count")
+# Cleaning leaves no null in these.
+COMPLETE_COLUMNS = ("online_order", "book_table", "approx_cost", "cuisine_count")
 
 
 def raw_frequencies(raw: DataFrame) -> DataFrame:
@@ -257,14 +259,21 @@ def rating_by_service(listings: DataFrame) -> DataFrame:
 # Correlation
 
 
-def correlations(listings: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
-    return correlation_matrix(listings, columns)
+def correlations(
+    listings: DataFrame,
+    columns: Sequence[str] = NUMERIC_COLUMNS,
+    complete: Sequence[str] = COMPLETE_COLUMNS,
+) -> DataFrame:
+    return correlation_matrix(listings, columns, complete)
 
 
 def rating_correlations(
-    listings: DataFrame, target: str = "rate", columns: Sequence[str] = NUMERIC_COLUMNS
+    listings: DataFrame,
+    target: str = "rate",
+    columns: Sequence[str] = NUMERIC_COLUMNS,
+    complete: Sequence[str] = COMPLETE_COLUMNS,
 ) -> DataFrame:
-    return target_correlations(correlation_matrix(listings, columns), target)
+    return target_correlations(correlation_matrix(listings, columns, complete), target)
 
 
 # Headline insights

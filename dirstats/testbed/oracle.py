@@ -766,9 +766,10 @@ def _explore() -> dict[str, str]:
     corr = " UNION ALL ".join(
         f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
         + (
-            f"CASE WHEN stddev_pop({a}) > 0 THEN CAST(1.0 AS DOUBLE) END AS corr FROM listings"
+            f"CASE WHEN min({a}) < max({a}) THEN CAST(1.0 AS DOUBLE) END AS corr FROM listings"
             if a == b
-            else f"{rnd(f'CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) END', 6)} AS corr FROM listings"
+            else rnd(f"CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN corr({a}, {b}) END", 6)
+            + " AS corr FROM listings"
         )
         for a in columns
         for b in columns

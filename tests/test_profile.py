@@ -50,6 +50,17 @@ def test_correlation_of_constants_is_null(spark):
     assert corr_of(df.limit(1), "a", "b") is None
 
 
+def test_constant_stays_constant_when_partial_results_merge(spark):
+    df = spark.range(0, 10007, 1, 7).select(
+        (F.col("id") % 101).alias("a"), F.lit(2).alias("b"), F.when(F.col("id") > 5, 1).alias("c")
+    )
+    for complete in ((), ("a", "b")):
+        matrix = profile.correlation_matrix(df, ["a", "b", "c"], complete).collect()
+        assert {(r.col_a, r.col_b): r["corr"] for r in matrix if r["corr"] is not None} == {
+            ("a", "a"): 1.0
+        }
+
+
 def test_target_correlations_by_strength(spark):
     rows = [(1, 1, -5), (2, 2, 1), (3, 3, -2), (4, 5, -9)]
     df = spark.createDataFrame(rows, "t int, up int, down int")
