@@ -60,6 +60,11 @@ def parse_flag(value: Column) -> Column:
     return map_values(value, YES_NO).cast("int")
 
 
+def row_digest(columns: Sequence[Column]) -> Column:
+    """SHA-256 of a row. JSON leaves null fields out, so null and empty text differ."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
 def first_item(value: Column, delimiter: str = ",") -> Column:
     return strip(F.split_part(value, F.lit(delimiter), F.lit(1)))
 

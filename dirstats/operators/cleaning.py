@@ -165,12 +165,11 @@ def duplicate_report(
     """Rows, rows beyond the first of each identical group, and their share.
 
     Nulls compare equal. ``columns`` narrows the comparison to a key. For wide
-    rows ``by_digest`` shuffles the SHA-256 of each row instead of the row; a
-    null differs from an empty text because JSON leaves null fields out.
+    rows ``by_digest`` shuffles the SHA-256 of each row instead of the row.
     """
     compared = [F.col(f"`{c}`") for c in columns or df.columns]
     if by_digest:
-        compared = [F.sha2(F.to_json(F.struct(*compared)), 256).alias("_digest")]
+        compared = [X.row_digest(compared).alias("_digest")]
     groups = df.groupBy(*compared).agg(F.count(F.lit(1)).alias("_n"))
     rows = F.coalesce(F.sum("_n"), F.lit(0))
     unique = F.count(F.lit(1))

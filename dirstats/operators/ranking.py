@@ -117,10 +117,22 @@ def share_below(
 
 
 def with_share_below(
-    df: DataFrame, population: DataFrame, value: str = "rate", out: str = "beats_pct"
+    df: DataFrame,
+    population: DataFrame,
+    value: str = "rate",
+    out: str = "beats_pct",
+    *,
+    stage: bool = False,
 ) -> DataFrame:
-    """Attach :func:`share_below` of ``population`` to each row; null stays null."""
+    """Attach :func:`share_below` of ``population`` to each row; null stays null.
+
+    Set ``stage`` when ``df`` is large: the histogram is then written first, and
+    the planner, seeing its true size, broadcasts it instead of shuffling all
+    rows by a handful of ratings.
+    """
     shares = share_below(population, value, out)
+    if stage:
+        shares = write_stage(shares, "shares")
     keyed = df.withColumn("_units", to_units(F.col(value)))
     return keyed.join(shares, "_units", "left").drop("_units")
 

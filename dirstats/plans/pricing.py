@@ -138,7 +138,7 @@ def gem_proof_buckets(
 def rating_percentiles(entities: DataFrame) -> DataFrame:
     """Percent of rated entities each rated entity beats."""
     rated = entities.filter(F.col("rate").isNotNull()).select("name", "location", "rate")
-    return with_share_below(rated, entities, "rate", "beats_pct_of_platform")
+    return with_share_below(rated, entities, "rate", "beats_pct_of_platform", stage=True)
 
 
 def gem_rarity(

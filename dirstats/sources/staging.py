@@ -14,10 +14,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _lock = threading.RLock()
 _local_root: str | None = None
-_staged: dict[tuple[str, str], str] = {}
+_staged: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,7 +44,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def write_stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+    """Write ``df`` once and return a scan of the written table.
+
+    The planner knows a written table's size, so joins with it are broadcast or
+    shuffled by measured bytes.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
@@ -58,7 +63,8 @@ def staged_once(
     with _lock:
         if slot not in _staged:
             path = new_path(spark, label)
-            build().write.mode("errorifexists").parquet(path)
-            _staged[slot] = path
-        path = _staged[slot]
-    return spark.read.parquet(path)
+            built = build()
+            built.write.mode("errorifexists").parquet(path)
+            _staged[slot] = path, built.schema
+        path, schema = _staged[slot]
+    return spark.read.schema(schema).parquet(path)

@@ -119,6 +119,11 @@ def test_reports_scan_the_table_once(spark, sf_dir, name):
     assert plan.count("FileScan") == 1
 
 
+def test_percentiles_do_not_shuffle_rows_by_rating(spark, sf_dir):
+    plan = executed(QUERIES["rating_percentiles"](spark, sf_dir))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(_units" not in plan
+
+
 def test_frequency_limit_is_applied_before_the_shuffle(spark, sf_dir):
     plan = executed(QUERIES["profile_frequencies"](spark, sf_dir))
     assert "WindowGroupLimit" in plan and "Partial" in plan
