@@ -92,10 +92,12 @@ def frequencies(df: DataFrame, tops: dict[str, int | None]) -> DataFrame:
 def value_shares(df: DataFrame, column: str, digits: int = 1) -> DataFrame:
     """Count per value, nulls included, with percent of all rows.
 
-    The total is a window over the counts: one row per distinct value.
+    The total is a scalar subquery over the counts, so no task has to hold all
+    distinct values. As long as no filter is pushed under only one of them, both
+    read the same shuffle and the rows are scanned once.
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("row_count"))
-    total = F.sum("row_count").over(W.partitionBy())
+    total = counts.agg(F.sum("row_count")).scalar()
     return counts.withColumn("pct_of_total", percent(F.col("row_count"), total, digits))
 
 

@@ -9,6 +9,7 @@ from ..functions import labels as L
 from ..functions.numeric import percent, ratio, round_half_up
 from ..operators import sums as M
 from ..operators.ranking import group_rank
+from ..schema import FIELDS, Fields
 
 
 def _dominant(entities: DataFrame) -> DataFrame:
@@ -81,12 +82,15 @@ def dominance_summary(entities: DataFrame, *, top: int = 10) -> DataFrame:
     )
 
 
-def cuisine_stats(entities: DataFrame, *, min_rows: int = 50) -> DataFrame:
+def cuisine_stats(
+    entities: DataFrame, *, min_rows: int = 50, fields: Fields = FIELDS
+) -> DataFrame:
     """Both ranks and all metrics for every cuisine with enough entities.
 
     Ranks run over one row per cuisine.
     """
-    platform = M.with_platform(M.group_sums(entities, ["primary_cuisine"]), "_rate", "_rated")
+    sums = M.group_sums(entities, ["primary_cuisine"], fields=fields)
+    platform = M.with_platform(sums, "_rate", "_rated")
     measured = platform.filter(F.col("_n") >= min_rows).select(
         "primary_cuisine",
         M.n_rows().alias("total_count"),

@@ -82,14 +82,20 @@ def rating_label_shares(listings: DataFrame) -> DataFrame:
     )
 
 
+def _first_values(counts: DataFrame, column: str, top: int) -> DataFrame:
+    """The ``top`` most frequent non-null values.
+
+    Null is sorted last and dropped after the cut: dropped before, it would be
+    filtered under the aggregation, which could then not share its shuffle with
+    the total over all rows.
+    """
+    order = F.col(column).isNull(), F.desc("row_count"), F.col(column)
+    return counts.orderBy(*order).limit(top).filter(F.col(column).isNotNull())
+
+
 def top_shares(listings: DataFrame, column: str, top: int) -> DataFrame:
     """Most frequent values with their percent of all rows."""
-    return (
-        value_shares(listings, column)
-        .filter(F.col(column).isNotNull())
-        .orderBy(F.desc("row_count"), column)
-        .limit(top)
-    )
+    return _first_values(value_shares(listings, column), column, top)
 
 
 def cuisine_count_distribution(listings: DataFrame) -> DataFrame:
@@ -205,22 +211,20 @@ def cuisine_ratings(listings: DataFrame, *, top: int = 10) -> DataFrame:
 
 def leader_summary(listings: DataFrame, column: str, *, top: int = 3) -> DataFrame:
     """Distinct values, the most frequent one, and what the top few cover together."""
-    counts = value_shares(listings, column)
-    total = F.sum("row_count").over(W.partitionBy())
-    distinct = F.count(column).over(W.partitionBy())
-    ranked = (
-        counts.withColumns({"_total": total, "_distinct": distinct})
-        .filter(F.col(column).isNotNull())
-        .orderBy(F.desc("row_count"), column)
-        .limit(top)
-    )
+    counts = listings.groupBy(column).agg(F.count(F.lit(1)).alias("row_count"))
+    whole = counts.agg(F.sum("row_count").alias("rows"), F.count(column).alias("distinct"))
     first = F.min(F.struct((-F.col("row_count")).alias("n"), F.col(column).alias("v")))
-    return ranked.agg(
-        F.max("_distinct").alias("unique_values"),
-        first["v"].alias("top_value"),
-        (-first["n"]).alias("top_rows"),
-        percent(-first["n"], F.max("_total")).alias("top_pct"),
-        percent(F.sum("row_count"), F.max("_total")).alias("top_coverage_pct"),
+    total = whole.select("rows").scalar()
+    return (
+        _first_values(counts, column, top)
+        .agg(first.alias("_first"), F.sum("row_count").alias("_covered"))
+        .select(
+            whole.select("distinct").scalar().alias("unique_values"),
+            F.col("_first.v").alias("top_value"),
+            (-F.col("_first.n")).alias("top_rows"),
+            percent(-F.col("_first.n"), total).alias("top_pct"),
+            percent(F.col("_covered"), total).alias("top_coverage_pct"),
+        )
     )
 
 

@@ -9,6 +9,7 @@ from ..functions import labels as L
 from ..functions.numeric import round_half_up
 from ..operators import sums as M
 from ..operators.ranking import group_rank, top_ranked
+from ..schema import FIELDS, Fields
 
 
 def _value_floor(min_rows: int, min_rated: int, min_rate: float) -> Column:
@@ -28,11 +29,16 @@ def _market_type() -> Column:
 
 
 def leaderboard(
-    entities: DataFrame, *, by: str = "location", min_rows: int = 100, top: int = 15
+    entities: DataFrame,
+    *,
+    by: str = "location",
+    min_rows: int = 100,
+    top: int = 15,
+    fields: Fields = FIELDS,
 ) -> DataFrame:
     """Largest locations with share of the whole table and averages."""
     return (
-        M.with_platform(M.group_sums(entities, [by]), "_n")
+        M.with_platform(M.group_sums(entities, [by], fields=fields), "_n")
         .filter(F.col("_n") >= min_rows)
         .select(
             by,
@@ -57,10 +63,11 @@ def best_value(
     min_rated: int = 50,
     min_rate: float = 3.5,
     top: int = 15,
+    fields: Fields = FIELDS,
 ) -> DataFrame:
     """Rating per unit of cost among locations that pass three floors."""
     scored = (
-        M.group_sums(entities, [by])
+        M.group_sums(entities, [by], fields=fields)
         .filter(_value_floor(min_rows, min_rated, min_rate))
         .select(
             by,
@@ -78,11 +85,16 @@ def best_value(
 
 
 def digital_adoption(
-    entities: DataFrame, *, by: str = "location", min_rows: int = 100, top: int = 15
+    entities: DataFrame,
+    *,
+    by: str = "location",
+    min_rows: int = 100,
+    top: int = 15,
+    fields: Fields = FIELDS,
 ) -> DataFrame:
     """Online ordering and booking per location against the platform."""
     scored = (
-        M.with_platform(M.group_sums(entities, [by]), "_online", "_online_n")
+        M.with_platform(M.group_sums(entities, [by], fields=fields), "_online", "_online_n")
         .filter(F.col("_n") >= min_rows)
         .select(
             by,
@@ -107,6 +119,7 @@ def scorecard(
     min_rows: int = 100,
     min_rated: int = 50,
     min_rate: float = 3.5,
+    fields: Fields = FIELDS,
 ) -> DataFrame:
     """Size, value and digital ranking side by side for every large location.
 
@@ -116,7 +129,7 @@ def scorecard(
     qualifies = _value_floor(min_rows, min_rated, min_rate)
     value = F.when(qualifies, M.value_score())
     return (
-        M.with_platform(M.group_sums(entities, [by]), "_n", "_online", "_online_n")
+        M.with_platform(M.group_sums(entities, [by], fields=fields), "_n", "_online", "_online_n")
         .filter(F.col("_n") >= min_rows)
         .select(
             by,

@@ -11,15 +11,18 @@ from ..functions import scores
 from ..functions.numeric import RATE_DECIMALS, percent, ratio, round_half_up, to_units
 from ..operators import sums as M
 from ..operators.ranking import global_ntile, ntile_of, top_ranked, with_share_below
+from ..schema import FIELDS, Fields
 
 
-def tier_performance(entities: DataFrame, by: str = "price_category") -> DataFrame:
+def tier_performance(
+    entities: DataFrame, by: str = "price_category", *, fields: Fields = FIELDS
+) -> DataFrame:
     """Metrics per price tier and the jump from the tier below.
 
     Jumps difference the rounded averages. The windows see one row per tier.
     """
     order = L.ordinal(F.col(by), L.PRICE_TIERS)
-    tiers = M.with_platform(M.group_sums(entities, [by]), "_n").select(
+    tiers = M.with_platform(M.group_sums(entities, [by], fields=fields), "_n").select(
         by,
         order.alias("_order"),
         M.n_rows().alias("total_restaurants"),

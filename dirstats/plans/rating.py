@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import scores
 from ..operators import sums as M
+from ..schema import FIELDS, Fields
 
 
 def most_credible(
@@ -34,7 +35,9 @@ def most_credible(
     )
 
 
-def rating_crosstab(entities: DataFrame, by: str = "price_category") -> DataFrame:
+def rating_crosstab(
+    entities: DataFrame, by: str = "price_category", *, fields: Fields = FIELDS
+) -> DataFrame:
     """Count and share of every rating label per price tier."""
     cells = []
     for label in L.RATING_LABELS:
@@ -43,7 +46,7 @@ def rating_crosstab(entities: DataFrame, by: str = "price_category") -> DataFram
             M.label_pct(label).alias(f"{label.lower()}_pct"),
         ]
     return (
-        M.group_sums(entities, [by])
+        M.group_sums(entities, [by], fields=fields)
         .select(
             by,
             M.n_rows().alias("total_restaurants"),

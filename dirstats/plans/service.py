@@ -10,6 +10,7 @@ from ..functions import labels as L
 from ..functions.numeric import median, percent, round_half_up
 from ..operators import sums as M
 from ..operators.joins import null_safe_join
+from ..schema import FIELDS, Fields
 
 
 def online_vs_dinein(entities: DataFrame) -> DataFrame:
@@ -117,10 +118,12 @@ def service_segments(entities: DataFrame) -> DataFrame:
     ).orderBy("service_segment")
 
 
-def service_by_tier(entities: DataFrame, by: str = "price_category") -> DataFrame:
+def service_by_tier(
+    entities: DataFrame, by: str = "price_category", *, fields: Fields = FIELDS
+) -> DataFrame:
     """Share of each service segment within a price tier."""
     return (
-        M.group_sums(entities, [by])
+        M.group_sums(entities, [by], fields=fields)
         .select(
             by,
             M.n_rows().alias("total_in_tier"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dirstats.functions import labels as L
 from dirstats.plans import cross, cuisine, explore, location, pricing, rating, service, summary
+from dirstats.schema import Fields
 
 
 def rated(rate):
@@ -176,6 +177,22 @@ def test_other_tables_and_thresholds(spark):
     assert found[0].market_share_pct == 66.7
 
 
+def test_other_column_names(spark):
+    df = frames.entities(spark, {"rate": 2.0}, {"rate": 3.0}).withColumnsRenamed(
+        {"rate": "stars", "approx_cost": "price", "location": "area"}
+    )
+    fields = Fields(rate="stars", cost="price")
+    found = location.best_value(
+        df, by="area", min_rows=1, min_rated=1, min_rate=1.0, fields=fields
+    ).first()
+    assert (found.area, found.avg_rating, found.avg_cost, found.value_score) == (
+        "North",
+        2.5,
+        500.0,
+        0.5,
+    )
+
+
 def test_most_credible_breaks_ties(spark):
     rows = [{"name": n, "votes": 600, "rate": 4.5} for n in "cab"]
     found = rating.most_credible(frames.entities(spark, *rows), top=2)

@@ -124,6 +124,11 @@ def test_percentiles_do_not_shuffle_rows_by_rating(spark, sf_dir):
     assert "BroadcastHashJoin" in plan and "hashpartitioning(_units" not in plan
 
 
+def test_shares_and_their_total_use_one_shuffle(spark, sf_dir):
+    plan = executed(QUERIES["feature_top_cuisines"](spark, sf_dir))
+    assert "ReusedExchange" in plan
+
+
 def test_frequency_limit_is_applied_before_the_shuffle(spark, sf_dir):
     plan = executed(QUERIES["profile_frequencies"](spark, sf_dir))
     assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -101,6 +101,14 @@ def test_parquet_sink_and_pruned_scan(spark, tmp_path):
     assert back.count() == 1
 
 
+def test_listings_csv_with_a_byte_order_mark(spark, tmp_path):
+    writers.write_csv(frames.listings(spark, {}).coalesce(1), str(tmp_path / "l"))
+    (part,) = (tmp_path / "l").glob("*.csv")
+    marked = tmp_path / "marked.csv"
+    marked.write_text("\ufeff" + part.read_text(encoding="utf-8"), encoding="utf-8")
+    assert readers.read_listings(spark, str(marked)).first().name == "Cafe"
+
+
 def test_entities_csv(spark, tmp_path):
     df = frames.entities(spark, {"rate": None}, {"name": 'a "b", c'})
     writers.write_csv(df, str(tmp_path / "e"))
