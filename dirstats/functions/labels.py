@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,12 +40,29 @@ BENCHMARK_SEGMENT = "— Platform Average"
 BENCHMARK_VERDICT = "Benchmark"
 
 
+def ladder(
+    cases: Iterable[tuple[Column, str | int]], otherwise: str | None = None
+) -> Column:
+    """First case whose condition holds; null if none does and ``otherwise`` is not given."""
+    steps = [(condition, F.lit(label)) for condition, label in cases]
+    result = F.when(*steps[0])
+    for condition, label in steps[1:]:
+        result = result.when(condition, label)
+    return result if otherwise is None else result.otherwise(F.lit(otherwise))
+
+
 def at_least(value: Column, steps: Sequence[tuple[float, str]], otherwise: str) -> Column:
     """First step whose floor ``value`` reaches; null falls to ``otherwise``."""
-    ladder = F
-    for floor, label in steps:
-        ladder = ladder.when(value >= F.lit(floor), F.lit(label))
-    return ladder.otherwise(F.lit(otherwise))
+    return ladder([(value >= F.lit(floor), label) for floor, label in steps], otherwise)
+
+
+def _inside(value: Column, low: float | None, high: float | None, right: bool) -> Column:
+    inside = value.isNotNull()
+    if low is not None:
+        inside = inside & ((value > F.lit(low)) if right else (value >= F.lit(low)))
+    if high is not None:
+        inside = inside & ((value <= F.lit(high)) if right else (value < F.lit(high)))
+    return inside
 
 
 def bin_column(
@@ -55,23 +72,13 @@ def bin_column(
     right: bool = True,
 ) -> Column:
     """Half-open bins, closed on the right by default; ``None`` is unbounded."""
-    ladder = F
-    for low, high, label in zip(edges[:-1], edges[1:], labels, strict=True):
-        inside = F.lit(True)
-        if low is not None:
-            inside = inside & ((value > F.lit(low)) if right else (value >= F.lit(low)))
-        if high is not None:
-            inside = inside & ((value <= F.lit(high)) if right else (value < F.lit(high)))
-        ladder = ladder.when(inside & value.isNotNull(), F.lit(label))
-    return ladder
+    bins = zip(edges[:-1], edges[1:], labels, strict=True)
+    return ladder([(_inside(value, low, high, right), label) for low, high, label in bins])
 
 
 def bucketize(value: Column, ranges: Sequence[tuple[int, int, str]], otherwise: str) -> Column:
     """Closed ranges; everything else, null included, gets ``otherwise``."""
-    ladder = F
-    for low, high, label in ranges:
-        ladder = ladder.when(value.between(low, high), F.lit(label))
-    return ladder.otherwise(F.lit(otherwise))
+    return ladder([(value.between(low, high), label) for low, high, label in ranges], otherwise)
 
 
 def price_tier(cost: Column) -> Column:
@@ -107,10 +114,8 @@ def service_segment(online: Column, booking: Column) -> Column:
 
 
 def jump_verdict(is_first: Column, jump: Column) -> Column:
-    ladder = F.when(is_first, F.lit(JUMP_FIRST))
-    for floor, label in JUMP_VERDICTS:
-        ladder = ladder.when(jump > F.lit(floor), F.lit(label))
-    return ladder.otherwise(F.lit(JUMP_ELSE))
+    steps = [(jump > F.lit(floor), label) for floor, label in JUMP_VERDICTS]
+    return ladder([(is_first, JUMP_FIRST), *steps], JUMP_ELSE)
 
 
 def correlation_strength(value: Column) -> Column:
@@ -123,7 +128,4 @@ def correlation_strength(value: Column) -> Column:
 
 def ordinal(value: Column, labels: Sequence[str]) -> Column:
     """Position of a label in a fixed order, from 1; unknown labels are null."""
-    ladder = F
-    for position, label in enumerate(labels, 1):
-        ladder = ladder.when(value == label, F.lit(position))
-    return ladder
+    return ladder([(value == label, position) for position, label in enumerate(labels, 1)])
