@@ -61,7 +61,7 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _requests(size: int, buckets: int):
-    def ask(key, texts: pa.Table, keep: pa.Table) -> pa.Table:
+    def ask(key, texts, keep):
         _, sets = _block_sets(texts, keep, size)
         keys, counts = np.unique(np.concatenate([*sets, np.zeros(0, U)]), return_counts=True)
         cut = _cuts(keys, buckets)
@@ -79,7 +79,7 @@ def _requests(size: int, buckets: int):
     return ask
 
 
-def _answer(requests: pa.Table) -> pa.Table:
+def _answer(requests):
     """How many sets hold each asked shingle, as one byte: exact below 200, then by doublings.
     The low half of a hash names it inside of its range; a clash only makes an order less
     good, never a result wrong."""
@@ -109,7 +109,7 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def _candidates(size: int, percent: int):
-    def pick(key, texts: pa.Table, more: pa.Table) -> pa.Table:
+    def pick(key, texts, more):
         keep = more.filter(pa.compute.is_valid(more.column("doc_id")))
         levels = more.filter(pa.compute.is_valid(more.column("bucket"))).sort_by("bucket")
         ids, sets = _block_sets(texts, keep, size)
@@ -210,7 +210,7 @@ def linked(
 
 
 def _link_bin(percent: int):
-    def link(group: pa.Table) -> pa.Table:
+    def link(group):
         ids = group.column("doc_id").to_numpy()
         sets = [np.frombuffer(t, U) for t in group.column("tokens").to_pylist()]
         label = linked(sets, ids, percent)
@@ -220,7 +220,7 @@ def _link_bin(percent: int):
 
 
 def _link_across(percent: int):
-    def link(group: pa.Table) -> pa.Table:
+    def link(group):
         before = group.column("label").to_numpy()
         sets = [np.frombuffer(t, U) for t in group.column("tokens").to_pylist()]
         after = linked(sets, before, percent, group.column("probe").to_numpy(zero_copy_only=False))

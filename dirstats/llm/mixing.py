@@ -24,6 +24,12 @@ TRAIN_ROWS = 20_000
 BUCKETS = 1 << 17
 #: Pseudo-documents by which a bucket's evidence is held back.
 PRIOR_DOCS = 5.0
+#: A bucket counts only if some domain's share of its documents is off by so many standard
+#: errors from that domain's share of all marks.
+SURE = 4.0
+#: ... and if the evidence for some domain exceeds that for another by so much (natural log);
+#: many slight differences would otherwise decide about long texts.
+TELLING = 2.5
 MOST_STEPS = 60
 TOLERANCE = 1e-6
 
@@ -77,19 +83,24 @@ def weights(
     )
     sizes = [n or 0 for n in train.agg(*each).first()]
     everything = sum(sizes)
-    if not everything:
-        return counts.select("bucket", *(F.lit(0.0).alias(f"w{k}") for k in range(len(domains)))), [
-            0.0
-        ] * len(domains)
+    k = range(len(domains))
+    marks = counts.agg(F.sum("n"), *(F.sum(f"n{i}") for i in k)).first()
+    if not everything or not marks[0]:
+        return counts.select("bucket", *(F.lit(0.0).alias(f"w{i}") for i in k)), [0.0] * len(domains)
+    shares = [marks[i + 1] / marks[0] for i in k]
+    errors = [
+        F.abs(F.col(f"n{i}") - F.col("n") * F.lit(q)) / F.sqrt(F.col("n") * F.lit(max(q * (1 - q), 1e-9)))
+        for i, q in enumerate(shares)
+    ]
     logs = [
-        F.log(
-            (F.col(f"n{k}") + PRIOR_DOCS)
-            / (F.col("n") * F.lit(size / everything) + PRIOR_DOCS)
-        ).alias(f"w{k}")
-        for k, size in enumerate(sizes)
+        F.log((F.col(f"n{i}") + PRIOR_DOCS) / (F.col("n") * F.lit(q) + PRIOR_DOCS)).alias(f"w{i}")
+        for i, q in enumerate(shares)
     ]
+    w = [F.col(f"w{i}") for i in k]
+    counts = counts.where(F.greatest(*errors, F.lit(0.0)) >= SURE).select("bucket", *logs)
+    counts = counts.where(F.greatest(*w, F.lit(-99.0)) - F.least(*w, F.lit(99.0)) >= TELLING)
     priors = [float(np.log((size + 1) / (everything + len(sizes)))) for size in sizes]
-    return counts.select("bucket", *logs), priors
+    return counts, priors
 
 
 def memberships(

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dirstats.llm import (
+    backoff_lm,
     decontaminate,
     jaccard_join,
+    language_id,
     mixing,
     quality_rules,
     secret_ledger,
@@ -25,6 +27,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +43,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan_secrets(table(spark, sf_dir, "documents")).drop("blob")
 
@@ -46,9 +56,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op2_decontamination,
+            op3_language_id,
             op4_mixing,
             op7_quality_rules,
             op8_jaccard_join,
+            op9_lm_scores,
             op10_secret_scans,
         )
     }
