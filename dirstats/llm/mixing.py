@@ -31,7 +31,8 @@ SURE = 4.0
 #: many slight differences would otherwise decide about long texts.
 TELLING = 2.5
 MOST_STEPS = 60
-TOLERANCE = 1e-6
+#: Greatest error of a domain's share at which the steps end.
+TOLERANCE = 1e-4
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -57,18 +58,10 @@ def _buckets(docs: DataFrame, buckets: int) -> DataFrame:
     return marked.withColumn("bucket", F.pmod(F.xxhash64("mark"), F.lit(buckets))).drop("mark")
 
 
-def weights(
-    docs: DataFrame,
-    labels: DataFrame,
-    domains: list[str],
-    train_rows: int = TRAIN_ROWS,
-    buckets: int = BUCKETS,
-) -> tuple[DataFrame, list[float]]:
-    """The table (bucket, w0, w1, ...) of log odds of each domain, and the log priors. The
-    table has at most ``buckets`` rows. Without labelled documents it is empty and the domains
-    are equally likely."""
+def labelled_sample(labels: DataFrame, domains: list[str], train_rows: int) -> DataFrame:
+    """(doc_id, domain) of at most train_rows labelled documents, by a hash of their id."""
     domain = domain_of(F.col("quality"), F.col("toxic"))
-    sample = (
+    return (
         labels.select("doc_id", domain.alias("domain"))
         .where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -76,17 +69,22 @@ def weights(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(train_rows)
     )
-    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    each = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains)]
+
+
+def weights(
+    texts: DataFrame, sample: DataFrame, domains: list[str], buckets: int = BUCKETS
+) -> DataFrame:
+    """The table (bucket, w0, w1, ...) of a mark's log odds for each domain, of at most
+    ``buckets`` rows; empty without labelled documents."""
+    k = range(len(domains))
+    each = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)]
+    train = texts.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     counts = written(
         _buckets(train, buckets).groupBy("bucket").agg(F.count("*").alias("n"), *each), "marks"
     )
-    sizes = [n or 0 for n in train.agg(*each).first()]
-    everything = sum(sizes)
-    k = range(len(domains))
     marks = counts.agg(F.sum("n"), *(F.sum(f"n{i}") for i in k)).first()
-    if not everything or not marks[0]:
-        return counts.select("bucket", *(F.lit(0.0).alias(f"w{i}") for i in k)), [0.0] * len(domains)
+    if not marks[0]:
+        return counts.select("bucket", *(F.lit(0.0).alias(f"w{i}") for i in k))
     shares = [marks[i + 1] / marks[0] for i in k]
     errors = [
         F.abs(F.col(f"n{i}") - F.col("n") * F.lit(q)) / F.sqrt(F.col("n") * F.lit(max(q * (1 - q), 1e-9)))
@@ -97,61 +95,93 @@ def weights(
         for i, q in enumerate(shares)
     ]
     w = [F.col(f"w{i}") for i in k]
-    counts = counts.where(F.greatest(*errors, F.lit(0.0)) >= SURE).select("bucket", *logs)
-    counts = counts.where(F.greatest(*w, F.lit(-99.0)) - F.least(*w, F.lit(99.0)) >= TELLING)
-    priors = [float(np.log((size + 1) / (everything + len(sizes)))) for size in sizes]
-    return counts, priors
+    sure = counts.where(F.greatest(*errors, F.lit(0.0)) >= SURE).select("bucket", *logs)
+    return sure.where(F.greatest(*w, F.lit(-99.0)) - F.least(*w, F.lit(99.0)) >= TELLING)
+
+
+def biases(sums: DataFrame, sample: DataFrame, domains: list[str]) -> list[float]:
+    """What is added to a domain's evidence so that the probabilities of the sample add up to
+    its documents of each domain; this is also how the absence of marks counts. At most the
+    sample's rows reach the driver."""
+    rows = sums.join(F.broadcast(sample), "doc_id").drop("name").distinct().collect()
+    if not rows:
+        return [0.0] * len(domains)
+    evidence = np.array([[r[f"s{i}"] for i in range(len(domains))] for r in rows])
+    shares = np.array([sum(r["domain"] == d for r in rows) for d in domains]) / len(rows)
+    shares = np.maximum(shares, 1e-9)
+    bias = np.log(shares)
+    for _ in range(200):
+        logits = evidence + bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        mean = (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+        move = np.log(shares / np.maximum(mean, 1e-12))
+        bias = bias + move
+        if np.abs(move).max() < 1e-4:
+            break
+    return [float(x) for x in bias - bias.max()]
 
 
 def memberships(
     docs: DataFrame, labels: DataFrame, domains: list[str], train_rows: int = TRAIN_ROWS
 ) -> DataFrame:
     """(doc_id, name, n_tokens, p0, p1, ...) per row of docs; name is a digest of the text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select("doc_id", text.alias("text"))
-    table, priors = weights(texts, labels, domains, train_rows)
-    n_tokens = F.size(F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"))
+    k = range(len(domains))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    sample = written(labelled_sample(labels, domains, train_rows), "sample")
+    table = weights(texts, sample, domains)
+    trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
+    n_tokens = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")))
     rows = texts.select(
         F.monotonically_increasing_id().alias("row_id"),
         "doc_id",
         F.sha2("text", 256).alias("name"),
-        F.when(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) == "", 0)
-        .otherwise(n_tokens)
-        .cast("long")
-        .alias("n_tokens"),
+        n_tokens.cast("long").alias("n_tokens"),
         "text",
     )
-    k = range(len(domains))
-    sums = (
+    each = [F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in k]
+    sums = written(
         _buckets(rows, BUCKETS)
         .join(F.broadcast(table), "bucket", "left")
         .groupBy("row_id", "doc_id", "name", "n_tokens")
-        .agg(*(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in k))
+        .agg(*each)
+        .drop("row_id"),
+        "evidence",
     )
-    logits = [F.col(f"s{i}") + F.lit(priors[i]) for i in k]
+    logits = [F.col(f"s{i}") + F.lit(x) for i, x in enumerate(biases(sums, sample, domains))]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
     powers = [F.exp(x - top) for x in logits]
     total = sum(powers[1:], powers[0])
     return sums.select("doc_id", "name", "n_tokens", *((powers[i] / total).alias(f"p{i}") for i in k))
 
 
-def _rate(steps: list[np.ndarray], k: int) -> Column:
-    """1, moved against each step along the document's probabilities, never below 0."""
-    if not steps:
-        return F.lit(1.0)
-    table = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps))
+def _rate(steps: list[tuple[float, np.ndarray]], k: int, ahead: float | None = None) -> Column:
+    """The rate after steps (momentum, direction): each carries the rate on by its last change
+    times the momentum, moves it against the direction along the document's probabilities, and
+    lifts it to 0 if it is negative. With ahead, the point that the next step starts from."""
+    pair = F.struct(F.lit(1.0).alias("last"), F.lit(1.0).alias("now"))
+    carried = lambda r, momentum: r["now"] + (r["now"] - r["last"]) * momentum
 
-    def move(rate, step):
-        along = sum((F.col(f"p{i}") * step[i] for i in range(1, k)), F.col("p0") * step[0])
-        return F.greatest(F.lit(0.0), rate - along)
+    def move(r, step):
+        along = sum((F.col(f"p{i}") * step[i + 1] for i in range(1, k)), F.col("p0") * step[1])
+        return F.struct(
+            r["now"].alias("last"),
+            F.greatest(F.lit(0.0), carried(r, step[0]) - along).alias("now"),
+        )
 
-    return F.aggregate(table, F.lit(1.0), move)
+    def end(r):
+        return r["now"] if ahead is None else carried(r, F.lit(ahead))
+
+    if not steps:
+        return F.lit(1.0)
+    table = F.array(*(F.array(*(F.lit(float(x)) for x in [m, *d])) for m, d in steps))
+    return F.aggregate(table, pair, move, end)
 
 
 def fit_rates(members: DataFrame, shares: list[float]) -> Column:
     """The rate of a row of members, such that expected tokens per domain have the given shares
-    of all tokens. Gradient steps are taken in the metric of the tokens and scaled by the
-    domains' own products, so that a step length of 1 is always safe."""
+    of all tokens: accelerated projected gradient steps, whose momentum starts anew whenever the
+    residual grows. They are taken in the metric of the tokens and scaled by the domains' own
+    products, so that a step length of 1 is always safe."""
     k = len(shares)
     p = [F.col(f"p{i}") for i in range(k)]
     products = members.agg(
@@ -163,19 +193,28 @@ def fit_rates(members: DataFrame, shares: list[float]) -> Column:
     scale = np.array([float(x) for x in products[1:]]).reshape(k, k) / total
     inverse = np.linalg.inv(scale + 1e-9 * np.eye(k))
     goal = np.array(shares) / sum(shares)
-    steps: list[np.ndarray] = []
-    best, best_steps = np.inf, 0
+
+    steps: list[tuple[float, np.ndarray]] = []
+    age, last, best, best_at = 1.0, np.inf, np.inf, 0
     for _ in range(MOST_STEPS):
-        weighted = members.withColumn("drawn", _rate(steps, k) * F.col("n_tokens"))
-        sums = weighted.agg(*(F.sum(F.col("drawn") * p[i]) for i in range(k))).first()
-        residual = np.array([float(x) for x in sums]) / total - goal
-        off = float(np.abs(residual).max())
-        if off < best - TOLERANCE:
-            best, best_steps = off, len(steps)
-        if off < TOLERANCE or len(steps) - best_steps >= 10:
+        following = (1 + np.sqrt(1 + 4 * age * age)) / 2
+        momentum = (age - 1) / following
+        # the residual at the present rates, to stop, and at the point of the next step
+        now, ahead = _rate(steps, k), _rate(steps, k, momentum)
+        drawn = members.select(*p, (now * F.col("n_tokens")).alias("now"), (ahead * F.col("n_tokens")).alias("ahead"))
+        sums = drawn.agg(*(F.sum(F.col(c) * x) for c in ("now", "ahead") for x in p)).first()
+        at, further = np.array([float(x) for x in sums]).reshape(2, k) / total - goal
+        worst = float(np.abs(at).max())
+        if worst < 0.99 * best:
+            best, best_at = worst, len(steps)
+        if worst < TOLERANCE or len(steps) - best_at >= 12:
             break
-        steps.append(inverse @ residual)
-    return _rate(steps[:best_steps], k)
+        off = float(at @ inverse @ at)
+        if off > last:
+            age, momentum, further, following = 1.0, 0.0, at, (1 + np.sqrt(5)) / 2
+        last, age = off, following
+        steps.append((momentum, inverse @ further))
+    return _rate(steps, k)
 
 
 def rates(
