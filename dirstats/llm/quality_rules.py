@@ -144,6 +144,9 @@ def measured(docs: DataFrame) -> DataFrame:
         (
             (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
         ).alias("base_failed"),
+        # a filter on this column stays above the projection, which would else be computed for
+        # the filter and again for what it keeps, once per place that names a column
+        F.monotonically_increasing_id().alias("row_id"),
     )
 
 
@@ -186,6 +189,8 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that ``judge`` keeps, with all their columns."""
     return (
         measured(docs)
-        .where(~F.col("base_failed") & (F.size(failed_rules(rules)) == 0))
+        .where(
+            ~F.col("base_failed") & (F.size(failed_rules(rules)) == 0) & (F.col("row_id") >= 0)
+        )
         .select("row.*")
     )
