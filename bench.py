@@ -12,9 +12,8 @@ import json
 import os
 import time
 
-import __spark_entry__ as contract
 from dirstats.session import build_session
-from dirstats.testbed import binding
+from dirstats.testbed import binding, registry
 
 
 def timed(action) -> float:
@@ -47,7 +46,7 @@ def main() -> None:
         "stage_listings": timed(lambda: binding.listings(spark, sf_dir)),
         "stage_entities": timed(lambda: binding.entities(spark, sf_dir)),
     }
-    for name, query in contract.queries().items():
+    for name, query in registry.all_queries().items():
         if only and name not in only:
             continue
         run(query(spark, sf_dir))

@@ -2,8 +2,9 @@
 
 A floating sum depends on the order in which partial results arrive, which on a
 cluster changes from run to run; a mean that lands on a rounding boundary would
-then flip between runs. Ratings are therefore summed as whole units of
-``10**-RATE_DECIMALS`` in a bigint and divided once at the end.
+then flip between runs. Ratings are therefore summed as decimals of
+``RATE_SCALE`` places, which hold every rating as it is printed, and divided
+once at the end. Values are compared, grouped and binned as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RATE_DECIMALS = 4
+#: Places of the decimals in which ratings are summed: the shortest text of a double
+#: from 0.1 to 10 billion has no more. Larger values raise an error under ANSI mode.
+RATE_SCALE = 18
+_SUMMED = f"decimal(28,{RATE_SCALE})"
+_STEPS = 10**4
 _NUMERIC = "decimal(38,12)"
 
 
@@ -29,15 +34,22 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return round_half_up(ratio(part * 100, whole), digits)
 
 
-def to_units(value: Column, decimals: int = RATE_DECIMALS) -> Column:
-    """A decimal quantity as a bigint count of its smallest unit."""
-    return F.rint(value * F.lit(float(10**decimals))).cast("bigint")
+def exact(value: Column) -> Column:
+    """A double as the decimal it prints as."""
+    return value.cast(_SUMMED)
 
 
-def exact_mean(value: Column, decimals: int = 0) -> Column:
-    """Mean over non-null values whose sum is taken in integers."""
-    scaled = to_units(value, decimals) if decimals else value.cast("bigint")
-    return ratio(F.sum(scaled), F.count(value) * 10**decimals)
+def mean_of(total: Column, count: Column) -> Column:
+    """Mean from a sum of ``exact`` values. Both sides are scaled up, so that sums of few
+    places divide as whole numbers, rounded once."""
+    return ratio(total * _STEPS, count * _STEPS)
+
+
+def exact_mean(value: Column, whole: bool = True) -> Column:
+    """Mean over non-null values whose sum is exact; ``whole`` for columns of integers."""
+    if whole:
+        return ratio(F.sum(value.cast("bigint")), F.count(value))
+    return mean_of(F.sum(exact(value)), F.count(value))
 
 
 def median(value: Column, frequency: Column | None = None, approx: bool = False) -> Column:

@@ -61,8 +61,10 @@ def parse_flag(value: Column) -> Column:
 
 
 def row_digest(columns: Sequence[Column]) -> Column:
-    """SHA-256 of a row. JSON leaves null fields out, so null and empty text differ."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+    """SHA-256 of a row. JSON leaves null fields out, so null and empty text differ;
+    timestamps count to the microsecond."""
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return F.sha2(F.to_json(F.struct(*columns), options), 256)
 
 
 def first_item(value: Column, delimiter: str = ",") -> Column:

@@ -119,7 +119,7 @@ def clean_parsed(
         columns = [*columns, "_order"]
     else:
         rows = complete.select(*columns).distinct()
-    flags = first_flags(parsed.filter(F.col(keys[-1]).isNotNull()), order_by, keys=keys)
+    flags = first_flags(parsed.dropna(subset=[k for k in keys if k in critical]), order_by, keys=keys)
     joined = null_safe_join(rows.drop("online_order", "book_table"), flags, keys)
     return joined.withColumns(
         {f: F.coalesce(F.col(f), F.lit(0)) for f in ("online_order", "book_table")}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions.numeric import RATE_DECIMALS, exact_mean, ratio, round_half_up, to_units
+from ..functions.numeric import exact, exact_mean, ratio, round_half_up
 from .cleaning import is_complete, with_features
 
 STRATEGIES = ("max_votes", "mean")
@@ -22,12 +22,13 @@ def dedup_entities(
     keys: Sequence[str] = S.ENTITY_KEYS,
     votes: str = "votes",
     dropped: Sequence[str] = ("listed_type",),
-    order: Column | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """One row per key.
 
     ``max_votes`` keeps the listing with the most votes. ``mean`` averages
-    numeric columns and takes the first non-null of the others in ``order``.
+    numeric columns and takes the first non-null of the others in the order of the
+    column ``order``, which itself is left out.
     """
     if strategy == "max_votes":
         return _highest_votes(listings, keys, votes, dropped)
@@ -57,19 +58,19 @@ def _highest_votes(
 
 
 def _mean_row(
-    listings: DataFrame, keys: Sequence[str], dropped: Sequence[str], order: Column
+    listings: DataFrame, keys: Sequence[str], dropped: Sequence[str], order: str
 ) -> DataFrame:
     """Numeric means and first texts per key; rows with a null key are left out."""
     result = {}
     for field in listings.schema.fields:
         name, column = field.name, F.col(field.name)
-        if name in keys or name in dropped or name.startswith("_"):
+        if name in keys or name in dropped or name == order:
             continue
         if isinstance(field.dataType, T.NumericType):
             whole = isinstance(field.dataType, T.IntegralType)
-            result[name] = exact_mean(column, 0 if whole else RATE_DECIMALS)
+            result[name] = exact_mean(column, whole)
         else:
-            first = F.min(F.when(column.isNotNull(), F.struct(order.alias("o"), column.alias("v"))))
+            first = F.min(F.when(column.isNotNull(), F.struct(F.col(order).alias("o"), column.alias("v"))))
             result[name] = first["v"]
     return (
         listings.dropna(subset=list(keys))
@@ -161,17 +162,17 @@ def consistency_report(
     keys: Sequence[str] = S.ENTITY_KEYS,
 ) -> DataFrame:
     """Per column: entities whose listings disagree, and the widest spread."""
-    units = {c: to_units(F.col(c)) for c in columns}
+    exact_values = {c: exact(F.col(c)) for c in columns}
     spreads = (
         listings.dropna(subset=list(keys))
         .groupBy(*keys)
-        .agg(*[(F.max(u) - F.min(u)).alias(c) for c, u in units.items()])
+        .agg(*[(F.max(v) - F.min(v)).alias(c) for c, v in exact_values.items()])
     )
     summary = spreads.agg(
         *[
             F.struct(
                 F.count_if(F.col(c) > 0).alias("inconsistent_entities"),
-                round_half_up(F.max(c) / F.lit(float(10**RATE_DECIMALS)), 2).alias("max_spread"),
+                round_half_up(F.max(c), 2).alias("max_spread"),
             ).alias(c)
             for c in columns
         ]
@@ -194,7 +195,9 @@ def spot_check(
     found = entities.select(
         *keys, F.lit(True).alias("_found"), *[F.col(c).alias(f"actual_{c}") for c in measures]
     )
-    joined = expected.join(found, list(keys), "left")
+    # only the few expected keys are looked up, however large the table is
+    wanted = found.join(expected.select(*keys).distinct(), list(keys), "left_semi")
+    joined = expected.join(wanted, list(keys), "left")
     same = F.coalesce(F.col("_found"), F.lit(False))
     for c in measures:
         same = same & F.col(c).eqNullSafe(F.col(f"actual_{c}"))

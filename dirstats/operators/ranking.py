@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import RATE_DECIMALS, percent, ratio, to_units
+from ..functions.numeric import exact, percent, ratio
 from ..sources.staging import write_stage
 
 # monotonically_increasing_id puts the partition number above this many bits.
@@ -102,12 +103,11 @@ def share_below(
     """Per distinct value: percent of all non-null rows that are strictly lower.
 
     Works on a value histogram, so the running sum sees one row per distinct
-    value. Values count as equal when they agree to ``RATE_DECIMALS`` places,
-    which bounds the histogram of a rating by its scale, not by the table.
+    value.
     """
     histogram = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(to_units(F.col(value)).alias("_units"))
+        .groupBy(F.col(value).alias("_units"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     lower = W.orderBy("_units").rowsBetween(W.unboundedPreceding, -1)
@@ -133,7 +133,7 @@ def with_share_below(
     shares = share_below(population, value, out)
     if stage:
         shares = write_stage(shares, "shares")
-    keyed = df.withColumn("_units", to_units(F.col(value)))
+    keyed = df.withColumn("_units", F.col(value))
     return keyed.join(shares, "_units", "left").drop("_units")
 
 
@@ -141,13 +141,13 @@ def histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame:
     """Equal-width histogram over min..max with every bin listed, the last one closed.
 
     Counts per distinct value come first; range and bins are then worked out on
-    that small frame in whole units, where bin edges are exact. A column with a
-    single value gets a range of one unit around it.
+    that small frame in decimals, where bin edges are exact. A column with a
+    single value gets a range of 1 around it.
     """
-    unit = 10**RATE_DECIMALS
+    half = F.lit(Decimal("0.5"))
     counts = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(to_units(F.col(value)).alias("_units"))
+        .groupBy(exact(F.col(value)).alias("_units"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     everything = W.partitionBy()
@@ -156,18 +156,22 @@ def histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame:
     ranged = counts.select(
         "_units",
         "_n",
-        F.when(flat, low - unit // 2).otherwise(low).alias("_low"),
-        F.when(flat, high + unit // 2).otherwise(high).alias("_high"),
+        F.when(flat, low - half).otherwise(low).alias("_low"),
+        F.when(flat, high + half).otherwise(high).alias("_high"),
     )
-    position = F.floor((F.col("_units") - F.col("_low")) * bins / (F.col("_high") - F.col("_low")))
-    in_bin = F.least(position, F.lit(bins - 1))
+    span = F.col("_high") - F.col("_low")
+    along = (F.col("_units") - F.col("_low")) * bins
+
+    def in_bin(i: int) -> Column:
+        from_here = along >= span * i
+        return from_here if i == bins - 1 else from_here & (along < span * (i + 1))
+
     row = ranged.groupBy("_low", "_high").agg(
-        *[F.sum(F.when(in_bin == i, F.col("_n")).otherwise(0)).alias(f"_{i}") for i in range(bins)]
+        *[F.sum(F.when(in_bin(i), F.col("_n")).otherwise(0)).alias(f"_{i}") for i in range(bins)]
     )
 
     def edge(step: int) -> Column:
-        span = F.col("_high") - F.col("_low")
-        return ratio(F.col("_low") * bins + span * step, F.lit(bins * unit))
+        return ratio((F.col("_low") * bins + span * step) * 10**4, F.lit(bins * 10**4))
 
     cells = [
         F.struct(

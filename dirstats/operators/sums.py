@@ -4,7 +4,7 @@ Every metric of the reports is a ratio of counts and integer sums. A report
 therefore makes one hash aggregation over the base table (``group_sums``), and
 reads totals, shares and benchmark rows from that small frame. Because sums
 add up, a coarser group or the whole platform is a second, tiny aggregation
-(``merge_sums``), never a second pass over the base table. Columns a report does
+(``merged_columns``), never a second pass over the base table. Columns a report does
 not use are pruned from the aggregation by the optimizer.
 """
 
@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.labels import PRICE_TIERS, QUALITY_LABELS, RATING_LABELS
-from ..functions.numeric import RATE_DECIMALS, percent, ratio, round_half_up, to_units
+from ..functions.numeric import exact, mean_of, percent, ratio, round_half_up
 from ..schema import FIELDS, Fields
 
-_RATE_UNIT = 10**RATE_DECIMALS
 _LABEL_SUMS = {label: f"_label_{label.lower()}" for label in RATING_LABELS}
 _TIER_SUMS = {tier: f"_tier_{i}" for i, tier in enumerate(PRICE_TIERS, 1)}
 
@@ -33,7 +32,7 @@ def sum_columns(fields: Fields = FIELDS) -> dict[str, Column]:
     return {
         "_n": F.count(F.lit(1)),
         "_rated": F.count(rate),
-        "_rate": F.sum(to_units(rate)),
+        "_rate": F.sum(exact(rate)),
         "_cost_n": F.count(cost),
         "_cost": F.sum(cost.cast("bigint")),
         "_votes_n": F.count(votes),
@@ -64,11 +63,6 @@ def merged_columns() -> list[Column]:
     return [F.sum(name).alias(name) for name in sum_columns()]
 
 
-def merge_sums(sums: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Add up a frame of sums to coarser keys, or to one row."""
-    return sums.groupBy(*keys).agg(*merged_columns())
-
-
 def with_platform(sums: DataFrame, *names: str) -> DataFrame:
     """Add ``_all<name>``: each named sum over the whole frame.
 
@@ -88,7 +82,7 @@ def n_rows() -> Column:
 
 
 def mean_rate(prefix: str = "") -> Column:
-    return ratio(F.col(f"{prefix}_rate"), F.col(f"{prefix}_rated") * _RATE_UNIT)
+    return mean_of(F.col(f"{prefix}_rate"), F.col(f"{prefix}_rated"))
 
 
 def mean_cost() -> Column:

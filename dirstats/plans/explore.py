@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.numeric import (
-    RATE_DECIMALS,
     distinct_count,
+    exact,
     exact_mean,
+    mean_of,
     percent,
     ratio,
     round_half_up,
-    to_units,
 )
 from ..operators import sums as M
 from ..operators.profile import (
@@ -125,7 +125,7 @@ def rating_histogram(listings: DataFrame, bins: int = 25) -> DataFrame:
 def rating_summary(listings: DataFrame, good_from: float = 3.5) -> DataFrame:
     rate = F.col("rate")
     return listings.agg(
-        round_half_up(exact_mean(rate, RATE_DECIMALS), 2).alias("mean_rating"),
+        round_half_up(exact_mean(rate, whole=False), 2).alias("mean_rating"),
         percent(F.count_if(rate >= good_from), F.count(rate)).alias("pct_rated_good"),
         F.count_if(rate.isNull()).alias("unrated_count"),
     )
@@ -249,7 +249,7 @@ def rating_by_service(listings: DataFrame) -> DataFrame:
 
     def mean_where(flag: int) -> Column:
         chosen = F.when(online == flag, rate)
-        return ratio(F.sum(to_units(chosen)), F.count(chosen) * 10**RATE_DECIMALS)
+        return mean_of(F.sum(exact(chosen)), F.count(chosen))
 
     gap = F.col("_online") - F.col("_dinein")
     return listings.agg(mean_where(1).alias("_online"), mean_where(0).alias("_dinein")).select(
@@ -297,9 +297,9 @@ def key_insights(listings: DataFrame, *, min_rows: int = 100) -> DataFrame:
         "_bad": F.count_if(rate < 3.0),
         "_cuisines": F.sum("cuisine_count"),
         "_cuisines_n": F.count("cuisine_count"),
-        "_rate_on": F.sum(F.when(online == 1, to_units(rate))),
+        "_rate_on": F.sum(F.when(online == 1, exact(rate))),
         "_rated_on": F.count(F.when(online == 1, rate)),
-        "_rate_off": F.sum(F.when(online == 0, to_units(rate))),
+        "_rate_off": F.sum(F.when(online == 0, exact(rate))),
         "_rated_off": F.count(F.when(online == 0, rate)),
     }
     cells = M.group_sums(listings, dimensions, *[c.alias(name) for name, c in extra.items()])
@@ -327,12 +327,9 @@ def key_insights(listings: DataFrame, *, min_rows: int = 100) -> DataFrame:
         *[leader(d) for d in dimensions],
         best.alias("_best"),
     )
-    unit = 10**RATE_DECIMALS
 
     def rating_where(suffix: str) -> Column:
-        return round_half_up(
-            ratio(F.col(f"_rate_{suffix}"), F.col(f"_rated_{suffix}") * unit), 2
-        )
+        return round_half_up(mean_of(F.col(f"_rate_{suffix}"), F.col(f"_rated_{suffix}")), 2)
 
     return row.select(
         M.avg_rating().alias("mean_rating"),

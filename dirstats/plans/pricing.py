@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import scores
-from ..functions.numeric import RATE_DECIMALS, percent, ratio, round_half_up, to_units
+from ..functions.numeric import exact, mean_of, percent, ratio, round_half_up
 from ..operators import sums as M
 from ..operators.ranking import global_ntile, ntile_of, top_ranked, with_share_below
 from ..schema import FIELDS, Fields
@@ -154,7 +154,7 @@ def gem_rarity(
     total, rated = F.count(F.lit(1)), F.count(rate)
     gems = F.count_if(proven)
     gem_cost = F.sum(F.when(proven, cost.cast("bigint")))
-    gem_rate = F.sum(F.when(proven, to_units(rate)))
+    gem_rate = F.sum(F.when(proven, exact(rate)))
     return entities.filter(F.col("price_category") == tier).agg(
         total.alias("total_budget_restaurants"),
         rated.alias("rated_budget"),
@@ -163,5 +163,5 @@ def gem_rarity(
         gems.alias("proven_gems"),
         percent(gems, total).alias("pct_of_all_budget"),
         round_half_up(ratio(gem_cost, F.count(F.when(proven, cost))), 0).alias("gems_avg_cost"),
-        round_half_up(ratio(gem_rate, gems * 10**RATE_DECIMALS), 2).alias("gems_avg_rating"),
+        round_half_up(mean_of(gem_rate, gems), 2).alias("gems_avg_rating"),
     )

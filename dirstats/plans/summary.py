@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import (
-    RATE_DECIMALS,
     distinct_count,
     exact_mean,
     percent,
@@ -30,7 +29,7 @@ def rating_range(entities: DataFrame) -> DataFrame:
     return entities.filter(rate.isNotNull()).agg(
         F.min(rate).alias("min_rate"),
         F.max(rate).alias("max_rate"),
-        round_half_up(exact_mean(rate, RATE_DECIMALS), 2).alias("avg_rate"),
+        round_half_up(exact_mean(rate, whole=False), 2).alias("avg_rate"),
         F.count(F.lit(1)).alias("rated_count"),
     )
 

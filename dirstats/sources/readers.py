@@ -60,8 +60,8 @@ def read_csv(
 
     ``multiline`` is needed when quoted text holds line breaks; it makes a file
     one task, so large exports should be many files. ``ordinal`` adds a column
-    that follows file order and is meaningful for a single file only; exports of
-    several files must bring their own.
+    that follows file order; it is refused for several files, whose rows have no
+    order unless they bring one.
     """
     # Numbers are read as text first, so that a missing-value text in a numeric
     # column is a null and not a malformed record.
@@ -79,7 +79,11 @@ def read_csv(
     typed = blank_to_null(rows, null_tokens).select(
         *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
     )
-    return typed.withColumn(ordinal, F.monotonically_increasing_id()) if ordinal else typed
+    if not ordinal:
+        return typed
+    if len(rows.inputFiles()) > 1:
+        raise ValueError("ordinal needs a single file; several files have to bring an order")
+    return typed.withColumn(ordinal, F.monotonically_increasing_id())
 
 
 def read_raw(spark: SparkSession, path: str | list[str], **options: object) -> DataFrame:
@@ -109,17 +113,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a scan with too few splits to all cores, by hash of ``keys``.
-
-    A small file with one row group is one task however many cores there are.
-    A scan that already has a split per core, as any large table does, is
-    returned as it is, so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def sql_over(spark: SparkSession, statement: str, views: Mapping[str, DataFrame]) -> DataFrame:
     """Run SQL text over named frames, e.g. ``{entities}`` in the statement."""
     return spark.sql(statement, **views)

@@ -13,7 +13,7 @@ from .. import schema as S
 from ..operators.cleaning import clean_parsed, parse_listings, with_features
 from ..operators.entities import entities_from_parsed
 from ..operators.joins import literal_frame
-from ..sources.readers import read_table, spread
+from ..sources.readers import read_table
 from ..sources.staging import staged_once
 
 # Columns that say which raw row came first.
@@ -31,8 +31,7 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in ("lineitem", "part", "supplier", "nation")
     )
     rows = (
-        spread(lineitem, *INGEST_ORDER)
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )

@@ -167,8 +167,8 @@ def mean(column: str, where: str = "TRUE") -> str:
 
 
 def mean_rate(where: str = "TRUE") -> str:
-    tenths = f"CASE WHEN {where} THEN CAST(round(rate * 10) AS BIGINT) END"
-    return f"CAST(sum({tenths}) AS DOUBLE) / nullif(10 * count({tenths}), 0)"
+    exact = f"CASE WHEN {where} THEN CAST(rate * 10000 AS DECIMAL(28,12)) END"
+    return f"CAST(sum({exact}) AS DOUBLE) / nullif(10000 * count({exact}), 0)"
 
 
 def count_if(where: str) -> str:
@@ -683,7 +683,7 @@ def _entity() -> dict[str, str]:
         "WHERE name IS NOT NULL AND location IS NOT NULL GROUP BY name, location)"
     )
     votes_spread = "max(votes) - min(votes)"
-    rate_spread = "max(CAST(round(rate * 10) AS BIGINT)) - min(CAST(round(rate * 10) AS BIGINT))"
+    rate_spread = "max(CAST(rate AS DECIMAL(28,12))) - min(CAST(rate AS DECIMAL(28,12)))"
     return {
         "entity_dedup_max_votes": from_entities("SELECT * FROM entities"),
         "entity_dedup_mean": over(
@@ -710,7 +710,7 @@ def _entity() -> dict[str, str]:
             "SELECT 'votes' AS column_name, count(*) FILTER (WHERE v > 0) AS inconsistent_entities, "
             f"{rnd('CAST(max(v) AS DOUBLE)', 2)} AS max_spread FROM s UNION ALL "
             "SELECT 'rate', count(*) FILTER (WHERE r > 0), "
-            f"{rnd('max(r) / 10.0', 2)} FROM s",
+            f"{rnd('max(r)', 2)} FROM s",
             f"s AS (SELECT {votes_spread} AS v, {rate_spread} AS r FROM listings "
             "WHERE name IS NOT NULL AND location IS NOT NULL GROUP BY name, location)",
         ),
@@ -808,11 +808,12 @@ def _explore() -> dict[str, str]:
         ),
         "eda_rating_histogram": from_listings(
             "SELECT CAST(b + 1 AS BIGINT) AS bin, "
-            "(lo * 25 + (hi - lo) * b) / CAST(250 AS DOUBLE) AS bin_from, "
-            "(lo * 25 + (hi - lo) * (b + 1)) / CAST(250 AS DOUBLE) AS bin_to, "
-            "(SELECT count(*) FROM t WHERE least((t.u - lo) * 25 // (hi - lo), 24) = b) AS row_count "
+            "CAST(lo * 25 + (hi - lo) * b AS DOUBLE) / 250000 AS bin_from, "
+            "CAST(lo * 25 + (hi - lo) * (b + 1) AS DOUBLE) / 250000 AS bin_to, "
+            "(SELECT count(*) FROM t WHERE (t.u - lo) * 25 >= (hi - lo) * b "
+            "AND (b = 24 OR (t.u - lo) * 25 < (hi - lo) * (b + 1))) AS row_count "
             "FROM e CROSS JOIN range(25) g(b)",
-            "t AS (SELECT CAST(round(rate * 10) AS BIGINT) AS u FROM listings "
+            "t AS (SELECT CAST(rate * 10000 AS DECIMAL(18,6)) AS u FROM listings "
             "WHERE rate IS NOT NULL)",
             "e AS (SELECT min(u) AS lo, max(u) AS hi FROM t)",
         ),

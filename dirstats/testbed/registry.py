@@ -61,7 +61,7 @@ def _mean_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         binding.parsed(spark, sf_dir), binding.INGEST_ORDER, keep_order=True
     )
     return entities.dedup_entities(
-        cleaning.with_features(rows), strategy="mean", order=F.col("_order")
+        cleaning.with_features(rows), strategy="mean", order="_order"
     )
 
 

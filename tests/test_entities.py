@@ -40,7 +40,7 @@ def test_mean_strategy(spark):
         {"votes": 2, "rate": None, "listed_city": "B", "dish_liked": "second"},
         {"name": None},
     ).withColumn("_order", F.col("votes"))
-    out = E.dedup_entities(df, strategy="mean", order=F.col("_order"))
+    out = E.dedup_entities(df, strategy="mean", order="_order")
     row = out.first()
     assert out.count() == 1
     assert (row.votes, row.rate, row.listed_city, row.dish_liked) == (1.5, 3.1, "B", "first")
@@ -85,3 +85,25 @@ def test_reconcile(table):
     assert found["A", "North"].rows_difference == 2
     assert found["A", "South"].entity_rows == 0
     assert found[None, "North"].listing_rows == 2
+
+
+def test_ratings_of_many_places_are_exact(spark):
+    from dirstats.operators import ranking, sums
+
+    rates = [3.7] * 49 + [3.8] * 59 + [3.6]
+    many = frames.listings(spark, *[{"rate": r} for r in rates])
+    mean = E.dedup_entities(many.withColumn("_o", F.lit(1)), strategy="mean", order="_o")
+    assert mean.first().rate == pytest.approx(sum(rates) / len(rates), abs=1e-12)
+    odd = frames.listings(spark, {"rate": 3.744954}, {"rate": 3.744954, "name": "B"})
+    assert sums.group_sums(odd, ["location"]).select(sums.avg_rating()).first()[0] == 3.74
+    close = frames.listings(spark, {"rate": 3.00001}, {"rate": 3.00004}, {"rate": 3.5})
+    shares = ranking.with_share_below(close, close).orderBy("rate")
+    assert frames.column(shares, "beats_pct") == [0.0, 33.3, 66.7]
+    spread = E.consistency_report(frames.listings(spark, {"rate": 3.00001}, {"rate": 3.00002}))
+    assert {r.column_name: r.inconsistent_entities for r in spread.collect()}["rate"] == 1
+
+
+def test_mean_keeps_columns_of_any_name(spark):
+    df = frames.listings(spark, {}).withColumns({"_mine": F.lit(2.5), "_o": F.lit(1)})
+    out = E.dedup_entities(df, strategy="mean", order="_o")
+    assert "_mine" in out.columns and "_o" not in out.columns

@@ -171,5 +171,5 @@ def test_exact_mean_ignores_order(spark):
     values = [0.1, 0.2, 0.3, 3.3] * 7 + [None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     reverse = spark.createDataFrame([(v,) for v in reversed(values)], "v double")
-    means = {d.agg(numeric.exact_mean(F.col("v"), 4)).first()[0] for d in (df, reverse)}
+    means = {d.agg(numeric.exact_mean(F.col("v"), whole=False)).first()[0] for d in (df, reverse)}
     assert means == {0.975}

@@ -6,8 +6,10 @@ import __spark_entry__ as contract
 import compare
 import pytest
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+from dirstats.testbed import oracle, registry
+
+QUERIES = registry.all_queries()
+SQL = oracle.statements()
 
 
 def test_every_query_has_sql():

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-import __spark_entry__ as contract
 import pytest
 from pyspark.sql import functions as F
 
 from dirstats import schema as S
 from dirstats.operators import cleaning, entities
-from dirstats.testbed import binding
+from dirstats.testbed import binding, registry
 
-QUERIES = contract.queries()
+QUERIES = registry.all_queries()
 
 
 def executed(df):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import __spark_entry__ as contract
 import compare
 import duckdb
 import pytest
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+from dirstats.testbed import oracle, registry
+
+QUERIES = registry.all_queries()
+SQL = oracle.statements()
 SOURCE = "/root/testdata/sf0.001"
 
 

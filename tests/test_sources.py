@@ -134,10 +134,18 @@ def test_write_results(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/b", header=True).count() == 1
 
 
-def test_spread_leaves_large_scans_alone(spark):
-    wide = spark.range(0, 100, 1, 16)
-    assert readers.spread(wide, "id") is wide
-    assert readers.spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == 8
+def test_ordinal_needs_one_file(spark, tmp_path):
+    paths = [raw_csv(tmp_path / name, ROWS) for name in ("a.csv", "b.csv")]
+    with pytest.raises(ValueError, match="single file"):
+        readers.read_raw(spark, paths, ordinal="n")
+
+
+def test_verify_compares_types_and_columns(spark):
+    a = spark.sql("SELECT 1 AS k, timestamp '2020-01-01 00:00:00.123456' AS t")
+    assert not writers.verify_written(a, a.withColumn("k", F.col("k").cast("long"))).first()[3]
+    assert not writers.verify_written(a, a.drop("k")).first().same_columns
+    b = spark.sql("SELECT 1 AS k, timestamp '2020-01-01 00:00:00.123999' AS t")
+    assert writers.verify_written(a, b).first().rows_missing == 1
 
 
 def test_staging_writes_once_into_the_shared_folder(spark):
