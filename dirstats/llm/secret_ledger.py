@@ -159,14 +159,12 @@ def scan_secrets(
     if known is not None:
         todo = todo.join(known, "blob", "left_anti")
     found = (
-        texts.select("key", "text")
-        .join(todo, "key")
-        .where(F.sha2(F.col("text"), 256) == F.col("blob"))
+        texts.join(todo, ["key", "blob"], "left_semi")
         .select("blob", "text")
         .mapInArrow(_scanner(rules), _schema(rules))
     )
     found.write.mode("append").parquet(f"{ledger}/rules={rule_version(rules)}")
-    return paths.drop("key").join(_ledger(docs, ledger, rules), "blob").select("doc_id", "*")
+    return paths.join(_ledger(docs, ledger, rules), "blob").select("doc_id", *_schema(rules).names)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", ledger: str | None = None) -> DataFrame:

@@ -225,6 +225,8 @@ def test_secret_ledger(spark, documents, tmp_path):
             want = secrets_by_hand(texts[r.doc_id, r.blob])
             assert r.spans == want
             assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    names = ["doc_id", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert secret_ledger.scan_secrets(docs, ledger).columns == names
     before = spark.read.parquet(ledger).count()
     secret_ledger.scan_secrets(documents, ledger).count()
     assert spark.read.parquet(ledger).count() == before  # nothing is scanned twice
