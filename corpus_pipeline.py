@@ -42,9 +42,12 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the rate at which the mix draws them; those of rate 0 go."""
     labels = table(spark, sf_dir, "labels")
-    return mixing.mix(docs, labels).where("rate > 0")
+    return mixing.mix(docs, labels, MIX).where("rate > 0")
 
 
+#: Shares of the mix. The quality rules leave no poor documents from which a share could be drawn.
+MIX = {"good": 0.95, "toxic": 0.05}
+
 STAGES = [
     ("quality rules", rules),
     ("n-gram Jaccard join", near_duplicates),

@@ -99,16 +99,18 @@ def weights(
     return sure.where(F.greatest(*w, F.lit(-99.0)) - F.least(*w, F.lit(99.0)) >= TELLING)
 
 
-def biases(sums: DataFrame, sample: DataFrame, domains: list[str]) -> list[float]:
+def biases(sums: DataFrame, sample: DataFrame, domains: list[str]) -> list[float | None]:
     """What is added to a domain's evidence so that the probabilities of the sample add up to
-    its documents of each domain; this is also how the absence of marks counts. At most the
-    sample's rows reach the driver."""
+    its documents of each domain; this is also how the absence of marks counts. None for a domain
+    that no document of the sample has, if it has any. At most the sample's rows reach the
+    driver."""
     rows = sums.join(F.broadcast(sample), "doc_id").drop("name").distinct().collect()
     if not rows:
         return [0.0] * len(domains)
     evidence = np.array([[r[f"s{i}"] for i in range(len(domains))] for r in rows])
     shares = np.array([sum(r["domain"] == d for r in rows) for d in domains]) / len(rows)
-    shares = np.maximum(shares, 1e-9)
+    there = shares > 0
+    evidence, shares = evidence[:, there], shares[there]
     bias = np.log(shares)
     for _ in range(200):
         logits = evidence + bias
@@ -118,13 +120,15 @@ def biases(sums: DataFrame, sample: DataFrame, domains: list[str]) -> list[float
         bias = bias + move
         if np.abs(move).max() < 1e-4:
             break
-    return [float(x) for x in bias - bias.max()]
+    found = iter((bias - bias.max()).tolist())
+    return [next(found) if x else None for x in there]
 
 
 def memberships(
     docs: DataFrame, labels: DataFrame, domains: list[str], train_rows: int = TRAIN_ROWS
 ) -> DataFrame:
-    """(doc_id, name, n_tokens, p0, p1, ...) per row of docs; name is a digest of the text."""
+    """(doc_id, name, n_tokens, p0, p1, ...) per row of docs; name is a digest of the text. The
+    probability is null for a domain that no labelled document of docs has."""
     k = range(len(domains))
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sample = written(labelled_sample(labels, domains, train_rows), "sample")
@@ -147,11 +151,13 @@ def memberships(
         .drop("row_id"),
         "evidence",
     )
-    logits = [F.col(f"s{i}") + F.lit(x) for i, x in enumerate(biases(sums, sample, domains))]
-    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    powers = [F.exp(x - top) for x in logits]
-    total = sum(powers[1:], powers[0])
-    return sums.select("doc_id", "name", "n_tokens", *((powers[i] / total).alias(f"p{i}") for i in k))
+    bias = biases(sums, sample, domains)
+    logits = {i: F.col(f"s{i}") + F.lit(bias[i]) for i in k if bias[i] is not None}
+    top = F.greatest(*logits.values()) if len(logits) > 1 else next(iter(logits.values()))
+    powers = {i: F.exp(x - top) for i, x in logits.items()}
+    total = sum(powers.values(), F.lit(0.0))
+    p = [powers[i] / total if i in powers else F.lit(None).cast("double") for i in k]
+    return sums.select("doc_id", "name", "n_tokens", *(p[i].alias(f"p{i}") for i in k))
 
 
 def _rate(steps: list[tuple[float, np.ndarray]], k: int, ahead: float | None = None) -> Column:
@@ -179,7 +185,7 @@ def _rate(steps: list[tuple[float, np.ndarray]], k: int, ahead: float | None = N
 
 def fit_rates(members: DataFrame, shares: list[float]) -> Column:
     """The rate of a row of members, such that expected tokens per domain have the given shares
-    of all tokens: accelerated projected gradient steps, whose momentum starts anew whenever the
+    of all tokens, or 1 where no share is above 0: accelerated projected gradient steps, whose momentum starts anew whenever the
     residual grows. They are taken in the metric of the tokens and scaled by the domains' own
     products, so that a step length of 1 is always safe."""
     k = len(shares)
@@ -188,7 +194,7 @@ def fit_rates(members: DataFrame, shares: list[float]) -> Column:
         F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(k) for j in range(k))
     ).first()
     total = float(products[0] or 0)
-    if not total:
+    if not total or not sum(shares):
         return F.lit(1.0)
     scale = np.array([float(x) for x in products[1:]]).reshape(k, k) / total
     inverse = np.linalg.inv(scale + 1e-9 * np.eye(k))
@@ -230,8 +236,9 @@ def rates(
     of several rows of one document the least domain counts. targets gives each domain's share
     of the tokens; the mix has as many tokens as docs. A null text counts as empty and has no
     tokens: it gets a rate like any other but adds nothing. Without labels all domains are
-    equally likely. Repeated rows each get a row, a null doc_id stays null, other columns are
-    ignored.
+    equally likely. A domain that no labelled document of docs has cannot be told or drawn: its
+    probability is 0 and the other targets are scaled up to make up for it. Repeated rows each
+    get a row, a null doc_id stays null, other columns are ignored.
     """
     found, rate, domains = _fitted(docs, labels, targets or TARGETS, train_rows)
     named = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)]
@@ -257,4 +264,8 @@ def mix(
 def _fitted(docs, labels, targets, train_rows) -> tuple[DataFrame, Column, list[str]]:
     domains = sorted(targets)
     found = written(memberships(docs, labels, domains, train_rows), "memberships")
-    return found, fit_rates(found, [targets[d] for d in domains]), domains
+    names = [f"p{i}" for i in range(len(domains))]
+    first = found.select(names).first()
+    shares = [targets[d] if first and first[i] is not None else 0.0 for i, d in enumerate(domains)]
+    found = found.fillna(0.0, names)
+    return found, fit_rates(found, shares), domains
