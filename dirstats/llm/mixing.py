@@ -44,18 +44,17 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     )
 
 
-def _marks(text: Column) -> Column:
-    """Distinct words, runs of signs, and a mark for how varied the words are."""
-    parts = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+|[^\p{L}\s]+"), F.lit(0))
-    kinds = F.array_distinct(parts)
-    varied = F.floor(10 * F.size(kinds) / F.greatest(F.size(parts), F.lit(1)))
-    return F.concat(kinds, F.array(F.concat(F.lit("varied "), varied.cast("string"))))
-
-
 def _buckets(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs without text, one row per distinct mark of each text."""
-    marked = docs.withColumn("mark", F.explode(_marks(F.col("text")))).drop("text")
-    return marked.withColumn("bucket", F.pmod(F.xxhash64("mark"), F.lit(buckets))).drop("mark")
+    """docs without text, and the buckets of each text's marks: distinct words, runs of signs,
+    and a mark for how varied the words are. The words are a column of their own, so that they
+    are taken once for all three places that use them."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+|[^\p{L}\s]+"), F.lit(0))
+    marked = docs.withColumn("parts", words).withColumn("kinds", F.array_distinct("parts"))
+    varied = F.floor(10 * F.size("kinds") / F.greatest(F.size("parts"), F.lit(1)))
+    marks = F.concat("kinds", F.array(F.concat(F.lit("varied "), varied.cast("string"))))
+    return marked.withColumn(
+        "buckets", F.transform(marks, lambda m: F.pmod(F.xxhash64(m), F.lit(buckets)))
+    ).drop("text", "parts", "kinds")
 
 
 def labelled_sample(labels: DataFrame, domains: list[str], train_rows: int) -> DataFrame:
@@ -79,9 +78,9 @@ def weights(
     k = range(len(domains))
     each = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)]
     train = texts.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    counts = written(
-        _buckets(train, buckets).groupBy("bucket").agg(F.count("*").alias("n"), *each), "marks"
-    )
+    # outer, as a filter on the array would take its words a second time
+    found = _buckets(train, buckets).select("domain", F.explode_outer("buckets").alias("bucket"))
+    counts = written(found.groupBy("bucket").agg(F.count("*").alias("n"), *each), "marks")
     marks = counts.agg(F.sum("n"), *(F.sum(f"n{i}") for i in k)).first()
     if not marks[0]:
         return counts.select("bucket", *(F.lit(0.0).alias(f"w{i}") for i in k))
@@ -142,12 +141,15 @@ def memberships(
         n_tokens.cast("long").alias("n_tokens"),
         "text",
     )
-    each = [F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in k]
+    # a bucket of weight 0 that every text has: marks without weight fall out at the join
+    everywhere = F.lit(-1).cast("long")
+    none = docs.sparkSession.range(1).select(everywhere.alias("bucket"), *(F.lit(0.0).alias(f"w{i}") for i in k))
+    held = _buckets(rows, BUCKETS).withColumn("bucket", F.explode_outer(F.concat("buckets", F.array(everywhere))))
     sums = written(
-        _buckets(rows, BUCKETS)
-        .join(F.broadcast(table), "bucket", "left")
+        held.drop("buckets")
+        .join(F.broadcast(table.unionByName(none)), "bucket")
         .groupBy("row_id", "doc_id", "name", "n_tokens")
-        .agg(*each)
+        .agg(*(F.sum(f"w{i}").alias(f"s{i}") for i in k))
         .drop("row_id"),
         "evidence",
     )
