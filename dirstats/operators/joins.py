@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import write_stage
+
 
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
@@ -52,8 +54,15 @@ def most_frequent_keys(df: DataFrame, key: str, top: int) -> DataFrame:
     return counts.orderBy(F.desc("_n"), key).limit(top).select(key)
 
 
-def keep_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose key is listed in ``keys``."""
+def keep_keys(df: DataFrame, keys: DataFrame, *, stage: bool = False) -> DataFrame:
+    """Rows whose key is listed in ``keys``.
+
+    Set ``stage`` when ``keys`` is computed and likely much smaller than its
+    estimate: it is then written first, and the planner, seeing its true size,
+    broadcasts it instead of shuffling all rows by a key that may be skewed.
+    """
+    if stage:
+        keys = write_stage(keys, "keys")
     return df.join(keys, keys.columns, "left_semi")
 
 

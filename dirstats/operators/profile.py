@@ -89,15 +89,25 @@ def frequencies(df: DataFrame, tops: dict[str, int | None]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def value_shares(df: DataFrame, column: str, digits: int = 1) -> DataFrame:
-    """Count per value, nulls included, with percent of all rows.
+def value_shares(
+    df: DataFrame, column: str, digits: int = 1, *, nulls: bool = True
+) -> DataFrame:
+    """Count per value, with percent of all rows; the row of nulls is optional.
 
     The total is a scalar subquery over the counts, so no task has to hold all
     distinct values. As long as no filter is pushed under only one of them, both
-    read the same shuffle and the rows are scanned once.
+    read the same shuffle and the rows are scanned once. So nulls are left out by
+    a count of their own, which the total reads as well.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("row_count"))
-    total = counts.agg(F.sum("row_count")).scalar()
+    if nulls:
+        counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("row_count"))
+        total = counts.agg(F.sum("row_count")).scalar()
+    else:
+        counts = df.groupBy(column).agg(
+            F.count(F.lit(1)).alias("row_count"), F.count(column).alias("_present")
+        )
+        total = counts.agg(F.sum(F.greatest("row_count", "_present"))).scalar()
+        counts = counts.filter(F.col("_present") > 0).drop("_present")
     return counts.withColumn("pct_of_total", percent(F.col("row_count"), total, digits))
 
 
@@ -130,8 +140,11 @@ def in_label_order(
 ) -> DataFrame:
     """One row per label in the given order, present in the data or not.
 
-    ``zero_filled`` columns read 0 for an absent label, the others null.
+    ``zero_filled`` columns read 0 for an absent label, the others null. A null
+    label matches none; made empty, it lets the join infer no filter that would
+    be pushed under the aggregation of ``df``.
     """
+    df = df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
     order = literal_frame(
         df.sparkSession, [column, "_order"], [(label, i) for i, label in enumerate(labels)]
     )

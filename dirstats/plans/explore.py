@@ -99,11 +99,7 @@ def top_shares(listings: DataFrame, column: str, top: int) -> DataFrame:
 
 
 def cuisine_count_distribution(listings: DataFrame) -> DataFrame:
-    return (
-        value_shares(listings, "cuisine_count")
-        .filter(F.col("cuisine_count").isNotNull())
-        .orderBy("cuisine_count")
-    )
+    return value_shares(listings, "cuisine_count", nulls=False).orderBy("cuisine_count")
 
 
 def cuisine_feature_summary(listings: DataFrame, approx: bool = False) -> DataFrame:

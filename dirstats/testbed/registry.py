@@ -108,7 +108,8 @@ def _spot_check(table: DataFrame) -> DataFrame:
 
 
 def _active_rows(listings: DataFrame) -> DataFrame:
-    kept = joins.keep_keys(listings, joins.keys_with_at_least(listings, "location", 100))
+    active = joins.keys_with_at_least(listings, "location", 100)
+    kept = joins.keep_keys(listings, active, stage=True)
     return kept.select("name", "location", "listed_type", "votes", "rate")
 
 

@@ -123,9 +123,17 @@ def test_percentiles_do_not_shuffle_rows_by_rating(spark, sf_dir):
     assert "BroadcastHashJoin" in plan and "hashpartitioning(_units" not in plan
 
 
-def test_shares_and_their_total_use_one_shuffle(spark, sf_dir):
-    plan = executed(QUERIES["feature_top_cuisines"](spark, sf_dir))
-    assert "ReusedExchange" in plan
+@pytest.mark.parametrize(
+    "name", ["feature_top_cuisines", "feature_cuisine_counts", "feature_rating_labels"]
+)
+def test_shares_and_their_total_use_one_shuffle(spark, sf_dir, name):
+    assert "ReusedExchange" in executed(QUERIES[name](spark, sf_dir))
+
+
+def test_rows_are_not_shuffled_to_a_short_list_of_keys(spark, sf_dir):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="2k"):
+        plan = executed(QUERIES["rows_in_active_locations"](spark, sf_dir))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(location" not in plan
 
 
 def test_frequency_limit_is_applied_before_the_shuffle(spark, sf_dir):
