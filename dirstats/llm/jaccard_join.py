@@ -53,24 +53,25 @@ def _block_sets(texts: pa.Table, keep: pa.Table, size: int):
     return ids[rows], out
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the hash ranges of the buckets begin in the sorted keys."""
-    edges = [(k << 64) // buckets for k in range(1, buckets)]
-    inner = np.searchsorted(keys, np.array(edges, dtype=np.uint64)) if edges else []
-    return np.concatenate([[0], inner, [len(keys)]]).astype(np.int64)
+def _ranges(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]]:
+    """The hash ranges that sorted keys touch, and where each lies in them. Ranges without a key
+    are left out: with all of them, blocks times ranges would outgrow the texts."""
+    of = ((keys >> U(32)) * U(buckets)) >> U(32)
+    opens = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    ends = np.append(opens[1:], len(of))
+    return of[opens], [slice(a, b) for a, b in zip(opens.tolist(), ends.tolist(), strict=False)]
 
 
 def _requests(size: int, buckets: int):
     def ask(key, texts, keep):
         _, sets = _block_sets(texts, keep, size)
         keys, counts = np.unique(np.concatenate([*sets, np.zeros(0, U)]), return_counts=True)
-        cut = _cuts(keys, buckets)
+        touched, pieces = _ranges(keys, buckets)
         low, counts = keys.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)
-        pieces = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.table(
             {
-                "bucket": pa.array(range(buckets), pa.int32()),
-                "block": pa.array([key[0].as_py()] * buckets, pa.int32()),
+                "bucket": pa.array(touched.astype(np.int32)),
+                "block": pa.array([key[0].as_py()] * len(pieces), pa.int32()),
                 "keys": pa.array([low[p].tobytes() for p in pieces], pa.binary()),
                 "counts": pa.array([counts[p].tobytes() for p in pieces], pa.binary()),
             }
