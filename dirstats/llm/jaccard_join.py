@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: which documents are linked by similar sets of word shingles.
+"""N-gram Jaccard join: which documents are linked by similar sets of word shingles, and by how many.
 
-Method: an exact prefix join over sets in rarity order, with the two skips of set relations.
+Method: an exact prefix join over sets in rarity order, with the two savings of set relations.
 Inside the lists of the index, entries stand in blocks by how much of their set is left behind
 their position, so that a probe leaves out the blocks that cannot reach the needed overlap. And
-the answers of a set start from those of a highly similar set that was done before: what that
-one had measured bounds the overlap of the new set without looking at its members, and partners
-that are already in its component need no look at all.
+the answers of a set are derived from those of a highly similar set that was done before: its
+overlaps, changed only along the lists of the members in which the two sets differ, are the
+exact overlaps of the new set, which accept or reject every candidate.
 
 How it is spread: documents with the same word sequence are one set. The number of sets that
 hold a shingle is counted over all documents, in hash ranges that many documents share; the
@@ -13,9 +13,7 @@ counts go back to the blocks of documents that asked. Only a set that shares one
 rarest shingles (the prefix) with another set can have a link, so only such sets go on. Sets
 that share prefix shingles form clusters; small clusters are packed into bins and joined in one
 task each. A cluster larger than a bin is cut into blocks: each block is joined in itself, then
-block leaders against all blocks, and then every set outside of the largest component against
-all blocks, so that a huge group of near copies costs one pass, and links between different
-components are still all found.
+every pair of blocks, as each link counts and not only the first that joins two components.
 """
 
 from __future__ import annotations
@@ -128,6 +126,7 @@ def _candidates(size: int, percent: int):
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()),
+                "copies": keep.sort_by("doc_id").column("copies"),
                 "size": pa.array(sizes, pa.int64()),
                 "tokens": pa.array(tokens, pa.binary()),
                 "shared": pa.array(shared, pa.list_(pa.int64())),
@@ -137,17 +136,63 @@ def _candidates(size: int, percent: int):
     return pick
 
 
+class _Overlaps:
+    """How many members a set shares with each of the sets, as one row per asked set."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        self.n, self.sizes = len(sets), sizes
+        _, ids = np.unique(np.concatenate([*sets, np.zeros(0, U)]), return_inverse=True)
+        self.members = np.split(ids, np.cumsum(sizes)[:-1])
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.holders = owner[np.argsort(ids, kind="stable")]
+        self.starts = np.append(0, np.cumsum(np.bincount(ids)))
+        self.kind = np.uint16 if sizes.max(initial=0) < 65536 else np.uint32
+        self.rows: list[np.ndarray | None] = [None] * self.n
+        self.known = np.zeros(self.n, dtype=bool)
+
+    def _held(self, members: np.ndarray) -> np.ndarray:
+        """How many of members each set holds."""
+        lists = [self.holders[self.starts[m] : self.starts[m + 1]] for m in members.tolist()]
+        held = np.concatenate([*lists, np.zeros(0, np.int32)])
+        return np.bincount(held, minlength=self.n).astype(self.kind)
+
+    def row(self, x: int, near: int) -> np.ndarray:
+        """The overlaps of x, from those of the set near where these are known and few members
+        differ: what x has beside near is added, what near has beside x is taken off."""
+        mine, self.known[x] = self.members[x], True
+        if self.rows[near] is not None:
+            more = np.setdiff1d(mine, self.members[near], assume_unique=True)
+            less = np.setdiff1d(self.members[near], mine, assume_unique=True)
+            if len(more) + len(less) < len(mine):
+                # unsigned, so that a difference below 0 on the way does no harm
+                self.rows[x] = self.rows[near] + self._held(more) - self._held(less)
+                return self.rows[x]
+        self.rows[x] = self._held(mine)
+        return self.rows[x]
+
+    def few(self, x: int, others: np.ndarray) -> np.ndarray:
+        mine = self.members[x]
+        return np.array(
+            [np.intersect1d(mine, self.members[y], assume_unique=True).size for y in others.tolist()]
+        )
+
+
+#: Up to so many candidates are compared one by one, without a row of overlaps.
+FEW = 4
+
+
 def linked(
     sets: list[np.ndarray],
     label: np.ndarray,
     percent: int,
+    weight: np.ndarray,
     probe: np.ndarray | None = None,
-) -> np.ndarray:
+) -> tuple[np.ndarray, np.ndarray]:
     """Component labels of sets given in rarity order: those of label, joined over every pair
-    whose Jaccard similarity reaches percent / 100. With probe, only pairs of a probe and
-    another set count."""
+    whose Jaccard similarity reaches percent / 100; and for each set the weights of all sets
+    with which it makes such a pair. With probe, only pairs of a probe and another set count."""
     n = len(sets)
-    label = label.copy()
+    label, links = label.copy(), np.zeros(n, dtype=np.int64)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     turn = np.lexsort((np.arange(n), sizes))
     place = np.empty(n, dtype=np.int64)
@@ -156,66 +201,60 @@ def linked(
     lengths = np.array([len(h) for h in heads], dtype=np.int64)
     owner = np.repeat(np.arange(n), lengths)
     token = np.concatenate([*heads, np.zeros(0, U)])
+    if not len(token):
+        return label, links
     spot = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     left = sizes[owner] - spot
     order = np.lexsort((-left, token))
     token, owner, spot, left = token[order], owner[order], spot[order], left[order]
-    opens = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else []
-    ends = np.append(opens[1:], len(token)) if len(token) else []
-    of_list = np.repeat(np.arange(len(opens)), np.asarray(ends) - np.asarray(opens))
+    opens = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    ends = np.append(opens[1:], len(token))
+    of_list = np.repeat(np.arange(len(opens)), ends - opens)
     own = np.lexsort((spot, owner))
     own_start = np.searchsorted(owner[own], np.arange(n + 1))
-    members = [None] * n
-    overlaps: dict[int, dict[int, int]] = {}
-    seen = np.full(n, -1, dtype=np.int64)
+    overlaps = _Overlaps(sets, sizes)
     for x in turn.tolist():
         size = int(sizes[x])
-        if not size:
-            continue
         least = -(-percent * size // 100)  # of any partner's size, and of its overlap
-        near, near_overlap, measured = -1, 0, {}
-        for at in own[own_start[x] : own_start[x + 1]].tolist():
-            k = of_list[at]
+        lists = of_list[own[own_start[x] : own_start[x + 1]]]
+        parts = []
+        for k in lists[ends[lists] - opens[lists] > 1].tolist():
             a, b = int(opens[k]), int(ends[k])
-            if b - a < 2 or left[at] < least:
-                continue
             b = a + int(np.searchsorted(-left[a:b], -least, side="right"))  # skip far blocks
-            some = owner[a:b]
-            some = some[(place[some] < place[x]) & (sizes[some] >= least) & (seen[some] != x)]
-            if probe is not None:
-                some = some[probe[some] != probe[x]]
-            some = some[label[some] != label[x]]
-            while len(some):
-                y = int(some[0])
-                seen[y] = x
-                need = -(-percent * (size + int(sizes[y])) // (100 + percent))
-                # what the similar set shares with y, and what x has beside that set
-                bound = overlaps.get(near, {}).get(y)
-                if bound is None or bound + size - near_overlap >= need:
-                    for z in (x, y):
-                        if members[z] is None:
-                            members[z] = np.sort(sets[z])
-                    where = np.searchsorted(members[x], members[y])
-                    where[where == size] = 0
-                    both = int((members[x][where] == members[y]).sum())
-                    measured[y] = both
-                    if 100 * both >= percent * (size + int(sizes[y]) - both):
-                        if both > near_overlap:
-                            near, near_overlap = y, both
-                        low, high = sorted((label[x], label[y]))
-                        label[label == high] = low
-                some = some[1:]
-                some = some[label[some] != label[x]]
-        overlaps[x] = measured
-    return label
+            parts.append(owner[a:b])
+        if not parts:
+            continue
+        some, times = np.unique(np.concatenate(parts), return_counts=True)
+        keep = (place[some] < place[x]) & (sizes[some] >= least)
+        if probe is not None:
+            keep &= probe[some] != probe[x]
+        near = int(some[np.argmax(np.where(overlaps.known[some], times, 0))])
+        some = some[keep]
+        if not len(some):
+            continue
+        if len(some) <= FEW:
+            both = overlaps.few(x, some)
+        else:
+            both = overlaps.row(x, near)[some].astype(np.int64)
+        hits = some[100 * both >= percent * (size + sizes[some] - both)]
+        if len(hits):
+            links[x] += weight[hits].sum()
+            links[hits] += weight[x]
+            met = np.unique(np.append(label[hits], label[x]))
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
+    return label, links
+
+
+def _sets_of(group: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(t, U) for t in group.column("tokens").to_pylist()]
 
 
 def _link_bin(percent: int):
     def link(group):
         ids = group.column("doc_id").to_numpy()
-        sets = [np.frombuffer(t, U) for t in group.column("tokens").to_pylist()]
-        label = linked(sets, ids, percent)
-        return pa.table({"doc_id": pa.array(ids), "label": pa.array(label)})
+        label, links = linked(_sets_of(group), ids, percent, group.column("copies").to_numpy())
+        return pa.table({"doc_id": pa.array(ids), "label": pa.array(label), "links": pa.array(links)})
 
     return link
 
@@ -223,43 +262,42 @@ def _link_bin(percent: int):
 def _link_across(percent: int):
     def link(group):
         before = group.column("label").to_numpy()
-        sets = [np.frombuffer(t, U) for t in group.column("tokens").to_pylist()]
-        after = linked(sets, before, percent, group.column("probe").to_numpy(zero_copy_only=False))
-        moved = after != before
-        return pa.table({"u": pa.array(before[moved]), "v": pa.array(after[moved])})
+        probe = group.column("block").to_numpy() == group.column("low").to_numpy()
+        after, links = linked(
+            _sets_of(group), before, percent, group.column("copies").to_numpy(), probe
+        )
+        some = links > 0
+        return pa.table(
+            {
+                "doc_id": pa.array(group.column("doc_id").to_numpy()[some]),
+                "links": pa.array(links[some]),
+                "u": pa.array(before[some]),
+                "v": pa.array(after[some]),
+            }
+        )
 
     return link
 
 
-def _across(home: DataFrame, probes: DataFrame, bin_docs: int, percent: int) -> DataFrame:
-    """Edges between labels, from every pair of a probe and a set of another block of its
-    cluster. Both sides are in pieces of bin_docs, so that a task holds two pieces at most."""
-    pieces = probes.groupBy("cluster").agg(F.ceil(F.count("*") / bin_docs).cast("int").alias("p"))
-    cell = [F.col(c) for c in ("cluster", "block", "piece")]
-    columns = ["doc_id", "tokens", "label", "block"]
-    fixed = home.join(pieces, "cluster").select(
-        "cluster", *columns, F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("piece"),
-        F.lit(False).alias("probe"),
-    )
-    moving = probes.join(pieces, "cluster").select(
-        "cluster",
-        *columns[:3],
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("p")).cast("int").alias("piece"),
-        F.lit(True).alias("probe"),
-    )
+def _across(home: DataFrame, percent: int) -> DataFrame:
+    """For every pair of blocks of a cluster, the links that each set has there, and the edge
+    between its label and the label that they give it. A task holds two blocks."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (
-        fixed.unionByName(moving)
-        .groupBy(*cell)
-        .applyInArrow(_link_across(percent), "u long, v long")
+        home.select("doc_id", "tokens", "copies", "label", "cluster", "block", other.alias("other"))
+        .where("block <> other")
+        .withColumn("low", F.least("block", "other"))
+        .withColumn("high", F.greatest("block", "other"))
+        .groupBy("cluster", "low", "high")
+        .applyInArrow(_link_across(percent), "doc_id long, links long, u long, v long")
     )
 
 
 def _labels(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """found (doc_id, label) with labels joined over edges between them."""
+    """found (doc_id, label, links) with labels joined over edges between them."""
     merged = components(edges)
     return found.join(merged, found["label"] == merged["node"], "left").select(
-        "doc_id", F.coalesce("component", "label").alias("label")
+        "doc_id", F.coalesce("component", "label").alias("label"), "links"
     )
 
 
@@ -269,12 +307,13 @@ def jaccard_join(
     percent: int = 80,
     bin_docs: int = 2000,
 ) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles and component_id.
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id and n_links.
 
     A document's set holds its distinct runs of shingle_words words; a shorter text is one
     shingle, a null text and one without words have the empty set, which links with nothing.
     Two sets link when their Jaccard similarity is percent / 100 or more. component_id is the
-    least doc_id that can be reached over links. Words are runs of non-space characters with
+    least doc_id that can be reached over links, and n_links the number of other documents with
+    which the document has a link, copies of it included. Words are runs of non-space characters with
     A-Z lower-cased; shingles are compared as 64-bit hashes. Repeated rows each give a row;
     rows of one doc_id with different texts count as one node whose set is that of the text
     with the greatest word digest; a null doc_id gives null ids and links with nothing. Other
@@ -289,17 +328,18 @@ def jaccard_join(
         F.max(F.struct("first", "second")).alias("d")
     ).select("doc_id", "d.first", "d.second")
     worded = one.where("first <> 0 or second <> 0")
-    copies = worded.groupBy("first", "second").agg(F.min("doc_id").alias("rep"))
+    copies = worded.groupBy("first", "second").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies")
+    )
     reps = written(copies, "copies")
 
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    keep = reps.select(F.col("rep").alias("doc_id"), "first", "second")
     repeated = digests.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     texts = docs.where("doc_id is not null")
     if repeated:  # one row per id: that with the digest chosen above
         texts = _single(texts, one)
     texts = texts.select("doc_id", "text", block).repartition(blocks, "block")
-    kept = keep.select("doc_id", block)
+    kept = reps.select(F.col("rep").alias("doc_id"), "copies").withColumn("block", block)
     asked = (
         texts.groupBy("block")
         .cogroup(kept.groupBy("block"))
@@ -312,13 +352,15 @@ def jaccard_join(
     )
     more = kept.withColumn("bucket", F.lit(None).cast("int")).withColumn(
         "levels", F.lit(None).cast("binary")
-    ).unionByName(answers.withColumn("doc_id", F.lit(None).cast("long")))
+    ).unionByName(
+        answers.withColumn("doc_id", F.lit(None).cast("long")).withColumn("copies", F.lit(None).cast("long"))
+    )
     sets = written(
         texts.groupBy("block")
         .cogroup(more.groupBy("block"))
         .applyInArrow(
             _candidates(shingle_words, percent),
-            "doc_id long, size long, tokens binary, shared array<long>",
+            "doc_id long, copies long, size long, tokens binary, shared array<long>",
         ),
         "sets",
     )
@@ -326,15 +368,22 @@ def jaccard_join(
 
     rep_of = worded.join(reps, ["first", "second"]).select("doc_id", "rep")
     sized = rep_of.join(
-        sets.select(F.col("doc_id").alias("rep"), F.col("size").alias("n")), "rep"
-    ).join(found.select(F.col("doc_id").alias("rep"), "label"), "rep", "left")
+        sets.select(F.col("doc_id").alias("rep"), F.col("size").alias("n"), "copies"), "rep"
+    ).join(found.select(F.col("doc_id").alias("rep"), "label", "links"), "rep", "left")
+    sized = sized.select(
+        "doc_id",
+        "n",
+        F.coalesce("label", "rep").alias("c"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+    )
     return (
         digests.select("doc_id")
-        .join(sized.select("doc_id", "n", F.coalesce("label", "rep").alias("c")), "doc_id", "left")
+        .join(sized, "doc_id", "left")
         .select(
             "doc_id",
             F.coalesce("n", F.lit(0)).alias("n_shingles"),
             F.coalesce("c", "doc_id").alias("component_id"),
+            F.coalesce("links", F.lit(0)).alias("n_links"),
         )
     )
 
@@ -366,7 +415,7 @@ def _told(batches):
 
 
 def _link(sets: DataFrame, bin_docs: int, percent: int) -> DataFrame:
-    """(doc_id, label): components of the sets in rarity order."""
+    """(doc_id, label, links): components and weighted links of the sets in rarity order."""
     postings = sets.select("doc_id", F.explode("shared").alias("token"))
     lists = postings.groupBy("token").agg(F.min("doc_id").alias("lead"))
     stars = postings.join(lists, "token").select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))
@@ -386,22 +435,18 @@ def _link(sets: DataFrame, bin_docs: int, percent: int) -> DataFrame:
     placed = written(placed, "bins")
     found = written(
         sets.join(placed, "doc_id")
-        .select("doc_id", "tokens", "bin", (F.col("m") > bin_docs).alias("large"))
+        .select("doc_id", "tokens", "copies", "bin", (F.col("m") > bin_docs).alias("large"))
         .groupBy("bin", "large")
-        .applyInArrow(_link_bin(percent), "doc_id long, label long"),
+        .applyInArrow(_link_bin(percent), "doc_id long, label long, links long"),
         "labels",
     )
     large = placed.where(F.col("m") > bin_docs)
     if large.isEmpty():
         return found
-    home = sets.select("doc_id", "tokens").join(large, "doc_id")
-    for leaders in (True, False):
-        known = home.join(found, "doc_id")
-        if leaders:
-            probes = known.where("label = doc_id")
-        else:
-            sizes = large.join(found, "doc_id").groupBy("cluster", "label").count()
-            main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-            probes = known.join(main, "cluster").where("label <> main")
-        found = written(_labels(found, _across(known, probes, bin_docs, percent)), "labels")
-    return found
+    home = sets.select("doc_id", "tokens", "copies").join(large, "doc_id").join(found, "doc_id")
+    across = written(_across(home, percent), "across")
+    more = across.groupBy("doc_id").agg(F.sum("links").alias("more"))
+    counted = found.join(more, "doc_id", "left").select(
+        "doc_id", "label", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links")
+    )
+    return written(_labels(counted, across.select("u", "v")), "labels")

@@ -148,6 +148,37 @@ def test_jaccard_join_on_documents(documents):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
 
 
+def links_by_hand(texts):
+    sets = {i: sets_by_hand(t) for i, t in texts.items()}
+    links = dict.fromkeys(sets, 0)
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and x and y and 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y)):
+                both = len(x & y)
+                if 100 * both >= 80 * (len(x) + len(y) - both):
+                    links[a] += 1
+                    links[b] += 1
+    return links
+
+
+@pytest.mark.parametrize("bin_docs", [3, 2000])
+def test_jaccard_join_counts_every_link(spark, odd, documents, bin_docs):
+    for docs in (odd, docs_of(spark, near_copies()), documents)[: 2 if bin_docs == 3 else 3]:
+        want = links_by_hand({r.doc_id: r.text for r in docs.collect()})
+        found = jaccard_join.jaccard_join(docs, bin_docs=bin_docs).collect()
+        assert {r.doc_id: r.n_links for r in found} == want
+    assert max(want.values()) > 1
+
+
+def test_overlaps_are_derived_from_those_of_a_similar_set():
+    rng = np.random.Generator(np.random.PCG64(3))
+    sets = [np.unique(rng.integers(0, 60, size=40)).astype(np.uint64) for _ in range(30)]
+    overlaps = jaccard_join._Overlaps(sets, np.array([len(x) for x in sets]))
+    for x in range(30):
+        found = overlaps.row(x, max(0, x - 1))
+        assert found.tolist() == [len(np.intersect1d(sets[x], y)) for y in sets]
+
+
 def test_jaccard_join_of_repeated_and_unnamed_rows(spark, nobody):
     docs = docs_of(spark, ["a b c d e f", "a b c d e f", "a b c d e f"], [4, 4, None])
     found = sorted(jaccard_join.jaccard_join(docs).collect(), key=str)
