@@ -16,17 +16,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; of repeated rows
-    of that id, one; and every document that has no id."""
-    found = jaccard_join.jaccard_join(docs)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"))
-    named = rows.where("row.doc_id is not null").join(stay, F.col("row.doc_id") == F.col("id"), "left_semi")
-    return (
-        named.dropDuplicates(["row"])
-        .unionByName(rows.where("row.doc_id is null"))
-        .select("row.*")
-    )
+    """Of each group of linked texts one row stays, that with the least doc_id; rows without an
+    id are compared like all others."""
+    return jaccard_join.distinct_texts(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

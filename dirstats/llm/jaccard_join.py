@@ -7,7 +7,7 @@ the answers of a set are derived from those of a highly similar set that was don
 overlaps, changed only along the lists of the members in which the two sets differ, are the
 exact overlaps of the new set, which accept or reject every candidate.
 
-How it is spread: documents with the same word sequence are one set. The number of sets that
+How it is spread: rows with the same word sequence are one set, whatever their doc_ids. The number of sets that
 hold a shingle is counted over all documents, in hash ranges that many documents share; the
 counts go back to the blocks of documents that asked. Only a set that shares one of its
 rarest shingles (the prefix) with another set can have a link, so only such sets go on. Sets
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dirstats.llm import wordhash
 from dirstats.llm.components import components
@@ -30,25 +31,47 @@ from dirstats.llm.scratch import block_count, written
 U = np.uint64
 
 
-def _digests(batches):
-    for batch in batches:
-        first, second = wordhash.sequences(*wordhash.words(batch.column("text")))
-        halves = (pa.array(x.view(np.int64)) for x in (first, second))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *halves], names=["doc_id", "first", "second"]
-        )
+def _told(columns: list[str], distinct: bool = False):
+    """Adds first and second, the digest of the words of the text, to the given columns; with
+    distinct, a task gives each digest once and leaves out texts without words."""
+
+    def tell(batches):
+        seen = set()
+        for batch in batches:
+            first, second = wordhash.sequences(*wordhash.words(batch.column("text")))
+            out = pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in columns)]
+                + [pa.array(x.view(np.int64)) for x in (first, second)],
+                names=[*columns, "first", "second"],
+            )
+            if distinct:
+                new = []
+                for at, pair in enumerate(zip(first.tolist(), second.tolist(), strict=True)):
+                    if pair != (0, 0) and pair not in seen:
+                        seen.add(pair)
+                        new.append(at)
+                out = out.take(pa.array(new, pa.int64()))
+            yield out
+
+    return tell
 
 
 def _block_sets(texts: pa.Table, keep: pa.Table, size: int):
-    """The shingle sets of the block's representatives, in doc_id order."""
-    ids = texts.column("doc_id").to_numpy()
-    rows = np.flatnonzero(np.isin(ids, keep.column("doc_id").to_numpy()))
-    rows = rows[np.argsort(ids[rows], kind="stable")]
+    """The rows of keep in the order of their digests, and the shingle set of each. The block's
+    texts have the same digests as keep, some of them repeatedly."""
+    keep = keep.sort_by([("first", "ascending"), ("second", "ascending")])
+    first, second = (texts.column(c).to_numpy() for c in ("first", "second"))
+    rows = np.lexsort((second, first))
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (np.diff(first[rows]) != 0) | (np.diff(second[rows]) != 0)
+    rows = rows[new]
+    if len(rows) != keep.num_rows:
+        raise ValueError("the texts of a block changed between two reads")
     out = []
     for at in range(0, len(rows), 512):
         some = texts.column("text").take(pa.array(rows[at : at + 512]))
         out += wordhash.shingles(*wordhash.words(some), size)
-    return ids[rows], out
+    return keep, out
 
 
 def _ranges(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]]:
@@ -109,9 +132,9 @@ def _prefix(n: int, percent: int) -> int:
 
 def _candidates(size: int, percent: int):
     def pick(key, texts, more):
-        keep = more.filter(pa.compute.is_valid(more.column("doc_id")))
+        keep = more.filter(pa.compute.is_valid(more.column("node")))
         levels = more.filter(pa.compute.is_valid(more.column("bucket"))).sort_by("bucket")
-        ids, sets = _block_sets(texts, keep, size)
+        keep, sets = _block_sets(texts, keep, size)
         keys = np.unique(np.concatenate([*sets, np.zeros(0, U)]))
         level = np.frombuffer(b"".join(levels.column("levels").to_pylist()), np.uint8)
         tokens, shared, sizes = [], [], []
@@ -125,8 +148,8 @@ def _candidates(size: int, percent: int):
             shared.append(both.view(np.int64) if len(both) else None)
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64()),
-                "copies": keep.sort_by("doc_id").column("copies"),
+                "node": keep.column("node"),
+                "copies": keep.column("copies"),
                 "size": pa.array(sizes, pa.int64()),
                 "tokens": pa.array(tokens, pa.binary()),
                 "shared": pa.array(shared, pa.list_(pa.int64())),
@@ -252,9 +275,9 @@ def _sets_of(group: pa.Table) -> list[np.ndarray]:
 
 def _link_bin(percent: int):
     def link(group):
-        ids = group.column("doc_id").to_numpy()
+        ids = group.column("node").to_numpy()
         label, links = linked(_sets_of(group), ids, percent, group.column("copies").to_numpy())
-        return pa.table({"doc_id": pa.array(ids), "label": pa.array(label), "links": pa.array(links)})
+        return pa.table({"node": pa.array(ids), "label": pa.array(label), "links": pa.array(links)})
 
     return link
 
@@ -269,7 +292,7 @@ def _link_across(percent: int):
         some = links > 0
         return pa.table(
             {
-                "doc_id": pa.array(group.column("doc_id").to_numpy()[some]),
+                "node": pa.array(group.column("node").to_numpy()[some]),
                 "links": pa.array(links[some]),
                 "u": pa.array(before[some]),
                 "v": pa.array(after[some]),
@@ -284,62 +307,43 @@ def _across(home: DataFrame, percent: int) -> DataFrame:
     between its label and the label that they give it. A task holds two blocks."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (
-        home.select("doc_id", "tokens", "copies", "label", "cluster", "block", other.alias("other"))
+        home.select("node", "tokens", "copies", "label", "cluster", "block", other.alias("other"))
         .where("block <> other")
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
         .groupBy("cluster", "low", "high")
-        .applyInArrow(_link_across(percent), "doc_id long, links long, u long, v long")
+        .applyInArrow(_link_across(percent), "node long, links long, u long, v long")
     )
 
 
 def _labels(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """found (doc_id, label, links) with labels joined over edges between them."""
+    """found (node, label, links) with labels joined over edges between them."""
     merged = components(edges)
-    return found.join(merged, found["label"] == merged["node"], "left").select(
-        "doc_id", F.coalesce("component", "label").alias("label"), "links"
+    merged = merged.withColumnRenamed("node", "label")
+    return found.join(merged, "label", "left").select(
+        "node", F.coalesce("component", "label").alias("label"), "links"
     )
 
 
-def jaccard_join(
-    docs: DataFrame,
-    shingle_words: int = 5,
-    percent: int = 80,
-    bin_docs: int = 2000,
-) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id and n_links.
-
-    A document's set holds its distinct runs of shingle_words words; a shorter text is one
-    shingle, a null text and one without words have the empty set, which links with nothing.
-    Two sets link when their Jaccard similarity is percent / 100 or more. component_id is the
-    least doc_id that can be reached over links, and n_links the number of other documents with
-    which the document has a link, copies of it included. Words are runs of non-space characters with
-    A-Z lower-cased; shingles are compared as 64-bit hashes. Repeated rows each give a row;
-    rows of one doc_id with different texts count as one node whose set is that of the text
-    with the greatest word digest; a null doc_id gives null ids and links with nothing. Other
-    columns of docs are ignored. bin_docs is only how many sets one task joins at a time.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _texts(docs: DataFrame, digests: DataFrame, shingle_words: int, percent: int, bin_docs: int) -> DataFrame:
+    """One row per distinct sequence of words that is not empty: first and second (its digest),
+    copies (its rows), least (of their doc_ids), n (shingles), label (the same for all that can
+    be reached over links) and links (other rows that it has a link with)."""
     blocks = block_count(docs)
-    digests = written(
-        docs.mapInArrow(_digests, "doc_id long, first long, second long"), "digests"
-    )
-    one = digests.where("doc_id is not null").groupBy("doc_id").agg(
-        F.max(F.struct("first", "second")).alias("d")
-    ).select("doc_id", "d.first", "d.second")
-    worded = one.where("first <> 0 or second <> 0")
-    copies = worded.groupBy("first", "second").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies")
+    nodes = digests.where("first <> 0 or second <> 0").groupBy("first", "second").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("least")
+    )
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    # by the digest, so that no doc_id, whether null or of many rows, makes a block large
+    block = F.pmod(F.xxhash64("first", "second"), F.lit(blocks)).cast("int").alias("block")
+    texts = (
+        docs.select("text")
+        .mapInArrow(_told(["text"], distinct=True), "text string, first long, second long")
+        .select("text", "first", "second", block)
+        .repartition(blocks, "block")
     )
-    reps = written(copies, "copies")
-
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    repeated = digests.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    texts = docs.where("doc_id is not null")
-    if repeated:  # one row per id: that with the digest chosen above
-        texts = _single(texts, one)
-    texts = texts.select("doc_id", "text", block).repartition(blocks, "block")
-    kept = reps.select(F.col("rep").alias("doc_id"), "copies").withColumn("block", block)
+    kept = nodes.select("node", "copies", "first", "second", block)
     asked = (
         texts.groupBy("block")
         .cogroup(kept.groupBy("block"))
@@ -350,76 +354,118 @@ def jaccard_join(
     answers = asked.groupBy("bucket").applyInArrow(
         _answer, "block int, bucket int, levels binary"
     )
-    more = kept.withColumn("bucket", F.lit(None).cast("int")).withColumn(
-        "levels", F.lit(None).cast("binary")
-    ).unionByName(
-        answers.withColumn("doc_id", F.lit(None).cast("long")).withColumn("copies", F.lit(None).cast("long"))
-    )
+    more = kept.unionByName(answers, allowMissingColumns=True)
     sets = written(
         texts.groupBy("block")
         .cogroup(more.groupBy("block"))
         .applyInArrow(
             _candidates(shingle_words, percent),
-            "doc_id long, copies long, size long, tokens binary, shared array<long>",
+            "node long, copies long, size long, tokens binary, shared array<long>",
         ),
         "sets",
     )
     found = _link(sets.where("tokens is not null"), bin_docs, percent)
+    return written(
+        nodes.join(sets.select("node", F.col("size").alias("n")), "node")
+        .join(found, "node", "left")
+        .select(
+            "first",
+            "second",
+            "copies",
+            "least",
+            "n",
+            F.coalesce("label", "node").alias("label"),
+            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+        ),
+        "texts",
+    )
 
-    rep_of = worded.join(reps, ["first", "second"]).select("doc_id", "rep")
-    sized = rep_of.join(
-        sets.select(F.col("doc_id").alias("rep"), F.col("size").alias("n"), "copies"), "rep"
-    ).join(found.select(F.col("doc_id").alias("rep"), "label", "links"), "rep", "left")
-    sized = sized.select(
-        "doc_id",
-        "n",
-        F.coalesce("label", "rep").alias("c"),
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+
+def _digests(docs: DataFrame) -> DataFrame:
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, first long, second long"
+    return written(named.mapInArrow(_told(["doc_id"]), schema), "digests")
+
+
+def jaccard_join(
+    docs: DataFrame,
+    shingle_words: int = 5,
+    percent: int = 80,
+    bin_docs: int = 2000,
+) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id and n_links.
+
+    A row's set holds the distinct runs of shingle_words words of its text; a shorter text is
+    one shingle, a null text and one without words have the empty set, which links with nothing.
+    Two sets link when their Jaccard similarity is percent / 100 or more. n_links is the number
+    of other rows with which the row has a link, copies of it included. component_id is the least
+    doc_id that can be reached over links, where rows of one doc_id reach each other whatever
+    their texts are; a row without doc_id counts in links and leads on, but its component_id is
+    null. Words are runs of non-space characters with A-Z lower-cased; texts are compared as
+    128-bit, shingles as 64-bit hashes. Other columns of docs are ignored. bin_docs is only how
+    many sets one task joins at a time.
+    """
+    digests = _digests(docs)
+    texts = _texts(docs, digests, shingle_words, percent, bin_docs)
+    leasts = texts.groupBy("label").agg(F.min("least").alias("least"))
+    classes = texts.drop("least").join(leasts, "label")
+    rows = digests.join(
+        classes.select("first", "second", "n", "least", "links"), ["first", "second"], "left"
     )
-    return (
-        digests.select("doc_id")
-        .join(sized, "doc_id", "left")
-        .select(
-            "doc_id",
-            F.coalesce("n", F.lit(0)).alias("n_shingles"),
-            F.coalesce("c", "doc_id").alias("component_id"),
-            F.coalesce("links", F.lit(0)).alias("n_links"),
+    pairs = digests.where("doc_id is not null").distinct()
+    several = pairs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if several.isEmpty():
+        rows = rows.withColumn("c", F.coalesce("least", "doc_id"))
+    else:  # the least id of each class, and ids with several texts, which join classes
+        edges = rows.where("doc_id is not null").select(
+            F.col("doc_id").alias("u"), F.coalesce("least", "doc_id").alias("v")
         )
+        joined = components(edges).withColumnRenamed("node", "doc_id")
+        rows = rows.join(joined, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    return rows.select(
+        "doc_id",
+        F.coalesce("n", F.lit(0)).alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"),
+        F.coalesce("links", F.lit(0)).alias("n_links"),
     )
 
 
-def _single(texts: DataFrame, one: DataFrame) -> DataFrame:
-    """One row per doc_id, with the text of the digest in one."""
-    told = texts.select("doc_id", "text").mapInArrow(
-        _told, "doc_id long, text string, first long, second long"
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """docs with all columns, of each group of texts that can be reached over links the row with
+    the least doc_id (a null one after all others), then digest, then text. doc_ids connect
+    nothing here. Rows without words link with nothing and stay; those that have a doc_id and
+    repeat in all columns, once."""
+    digests = _digests(docs)
+    texts = _texts(docs, digests, 5, 80, 2000)
+    rank = F.struct(F.col("least").isNull().alias("unnamed"), "least", "first", "second")
+    stay = texts.groupBy("label").agg(F.min(rank).alias("s")).select(
+        F.col("s.first").alias("first"), F.col("s.second").alias("second"), F.col("s.least").alias("least")
+    )
+    held = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("first", "second"))])
+    told = docs.mapInArrow(_told(docs.columns), held).select(
+        F.struct(*docs.columns).alias("row"), "first", "second"
+    )
+    empty = told.where("first = 0 and second = 0")
+    worded = (
+        told.join(stay, ["first", "second"])
+        .where(F.col("row.doc_id").cast("long").eqNullSafe(F.col("least")))
+        .groupBy("first", "second")
+        .agg(F.min_by("row", F.struct("row.text", F.xxhash64("row"))).alias("row"))
     )
     return (
-        told.join(one, ["doc_id", "first", "second"], "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min("text").alias("text"))
+        worded.select("row")
+        .unionByName(empty.where("row.doc_id is not null").select("row").dropDuplicates(["row"]))
+        .unionByName(empty.where("row.doc_id is null").select("row"))
+        .select("row.*")
     )
 
 
-def _told(batches):
-    for batch in batches:
-        first, second = wordhash.sequences(*wordhash.words(batch.column("text")))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("text"),
-                pa.array(first.view(np.int64)),
-                pa.array(second.view(np.int64)),
-            ],
-            names=["doc_id", "text", "first", "second"],
-        )
-
-
 def _link(sets: DataFrame, bin_docs: int, percent: int) -> DataFrame:
-    """(doc_id, label, links): components and weighted links of the sets in rarity order."""
-    postings = sets.select("doc_id", F.explode("shared").alias("token"))
-    lists = postings.groupBy("token").agg(F.min("doc_id").alias("lead"))
-    stars = postings.join(lists, "token").select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))
-    clusters = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    """(node, label, links): components and weighted links of the sets in rarity order."""
+    postings = sets.select("node", F.explode("shared").alias("token"))
+    lists = postings.groupBy("token").agg(F.min("node").alias("lead"))
+    stars = postings.join(lists, "token").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    clusters = components(stars).select("node", F.col("component").alias("cluster"))
     clusters = written(clusters, "clusters")
     counts = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
     bins = max(1, -(-clusters.count() // bin_docs))
@@ -429,24 +475,24 @@ def _link(sets: DataFrame, bin_docs: int, percent: int) -> DataFrame:
     placed = (
         clusters.join(counts, "cluster")
         .withColumn("blocks", F.ceil(F.col("m") / bin_docs).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("bin", spread)
     )
     placed = written(placed, "bins")
     found = written(
-        sets.join(placed, "doc_id")
-        .select("doc_id", "tokens", "copies", "bin", (F.col("m") > bin_docs).alias("large"))
+        sets.join(placed, "node")
+        .select("node", "tokens", "copies", "bin", (F.col("m") > bin_docs).alias("large"))
         .groupBy("bin", "large")
-        .applyInArrow(_link_bin(percent), "doc_id long, label long, links long"),
+        .applyInArrow(_link_bin(percent), "node long, label long, links long"),
         "labels",
     )
     large = placed.where(F.col("m") > bin_docs)
     if large.isEmpty():
         return found
-    home = sets.select("doc_id", "tokens", "copies").join(large, "doc_id").join(found, "doc_id")
+    home = sets.select("node", "tokens", "copies").join(large, "node").join(found, "node")
     across = written(_across(home, percent), "across")
-    more = across.groupBy("doc_id").agg(F.sum("links").alias("more"))
-    counted = found.join(more, "doc_id", "left").select(
-        "doc_id", "label", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links")
+    more = across.groupBy("node").agg(F.sum("links").alias("more"))
+    counted = found.join(more, "node", "left").select(
+        "node", "label", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links")
     )
     return written(_labels(counted, across.select("u", "v")), "labels")

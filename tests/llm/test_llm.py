@@ -186,6 +186,30 @@ def test_jaccard_join_of_repeated_and_unnamed_rows(spark, nobody):
     assert jaccard_join.jaccard_join(nobody).count() == 0
 
 
+def test_jaccard_join_takes_rows_by_their_own_texts(spark):
+    def text(k, n=30, change=()):
+        return " ".join(f"x{k}_{i}" if i in change else f"t{k}_{i}" for i in range(n))
+
+    rows = [
+        (1, text(1)), (2, text(1)), (2, text(2)), (3, text(2, change=[0])), (None, text(1)), (None, text(3, 12)),
+        (None, text(3, 12)), (7, text(4)), (7, text(5)), (7, text(6)), (8, text(6).upper()), (9, None), (9, text(7)),
+        (None, ""), (None, ""), (6, "  "), (6, "  "),
+    ]
+    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    found = collections.Counter(tuple(r) for r in jaccard_join.jaccard_join(docs).collect())
+    assert found == collections.Counter([
+        (1, 26, 1, 2), (2, 26, 1, 2), (2, 26, 1, 1), (3, 26, 1, 1), (None, 26, None, 2), (None, 8, None, 1),
+        (None, 8, None, 1), (7, 26, 7, 0), (7, 26, 7, 0), (7, 26, 7, 1), (8, 26, 7, 1), (9, 0, 9, 0), (9, 26, 9, 0),
+        (None, 0, None, 0), (None, 0, None, 0), (6, 0, 6, 0), (6, 0, 6, 0),
+    ])
+    stay = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert stay.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in stay.collect()) == collections.Counter([
+        (1, text(1)), (2, text(2)), (None, text(3, 12)), (7, text(4)), (7, text(5)), (7, text(6)), (9, None),
+        (9, text(7)), (None, ""), (None, ""), (6, "  "),
+    ])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     found = components.components(spark.createDataFrame(chain, "u long, v long")).collect()
