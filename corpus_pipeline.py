@@ -32,9 +32,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the rate at which the mix draws them; those of rate 0 go."""
-    labels = table(spark, sf_dir, "labels")
-    return mixing.mix(docs, labels, MIX).where("rate > 0")
+    """Documents as often as the mix draws them, with the rate at which it does."""
+    found = mixing.mix(docs, table(spark, sf_dir, "labels"), MIX)
+    return mixing.draw(found, found.columns[-1])
 
 
 #: Shares of the mix. The quality rules leave no poor documents from which a share could be drawn.

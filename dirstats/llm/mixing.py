@@ -263,6 +263,16 @@ def mix(
     return named.join(per_text, "name").select("row.*", F.col("found").alias(new))
 
 
+def draw(rows: DataFrame, rate: str = "rate") -> DataFrame:
+    """Each row as often as the mix draws it: the whole part of its rate, and once more if a
+    number in [0, 1) that a hash of doc_id and text gives is below the rest. Rows of rate 1 and
+    more all stay, and the same input always gives the same rows."""
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("draw")), 11) / F.lit(float(1 << 53))
+    whole = F.floor(rate)
+    times = whole + (chance < F.col(rate) - whole).cast("long")
+    return rows.select("*", F.explode(F.array_repeat(F.lit(True), times.cast("int")))).drop("col")
+
+
 def _fitted(docs, labels, targets, train_rows) -> tuple[DataFrame, Column, list[str]]:
     domains = sorted(targets)
     found = written(memberships(docs, labels, domains, train_rows), "memberships")

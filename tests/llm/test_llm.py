@@ -352,6 +352,34 @@ def test_mixing_meets_the_targets(spark, sf_dir, documents, odd, nobody):
     assert mixing.rates(nobody, labels).count() == 0
 
 
+def test_draw_follows_the_rates(spark):
+    rates = [0.0, 0.25, 1.0, 2.5]
+    rows = [(k if k % 5 else None, f"t{k}", rates[k % 4]) for k in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rate double")
+    drawn = mixing.draw(docs)
+    assert drawn.columns == docs.columns
+    times = collections.Counter(r.text for r in drawn.collect())
+    assert times == collections.Counter(r.text for r in mixing.draw(docs.repartition(3)).collect())
+    for kind, rate in enumerate(rates):
+        each = [times[f"t{k}"] for k in range(kind, 8000, 4)]
+        assert set(each) == {math.floor(rate), math.ceil(rate)}
+        assert abs(sum(each) / 2000 - rate) < 0.05
+
+
+def test_the_mixed_corpus_has_the_shares_of_the_mix(spark, sf_dir, documents):
+    kept = corpus_pipeline.rules(spark, documents, sf_dir).cache()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = {r.doc_id: r for r in mixing.rates(kept, labels, corpus_pipeline.MIX).collect()}
+    out = corpus_pipeline.mixed(spark, kept, sf_dir).collect()
+    times = collections.Counter(r.doc_id for r in out)
+    for i, r in found.items():
+        assert times[i] in (math.floor(r.rate), math.ceil(r.rate))
+    tokens = {d: sum(times[i] * r.n_tokens * r[f"p_{d}"] for i, r in found.items()) for d in corpus_pipeline.MIX}
+    before = sum(r.n_tokens * r.p_toxic for r in found.values()) / sum(r.n_tokens for r in found.values())
+    share = tokens["toxic"] / sum(tokens.values())
+    assert abs(share - 0.05) < 0.02 and share < before
+
+
 def test_mixing_without_a_domain(spark, sf_dir, documents):
     """What no document is cannot be drawn: the other targets are met, and clean texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
