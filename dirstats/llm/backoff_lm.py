@@ -182,6 +182,18 @@ def _score(strength: float):
     return score
 
 
+def _blocked(docs: DataFrame, blocks: int) -> DataFrame:
+    """Rows with the block that scores them: by their id and number, as very many rows can have
+    the same id or none."""
+    numbered = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("row_id"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+    )
+    block = F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(blocks)).cast("int")
+    return numbered.withColumn("block", block)
+
+
 def lm_scores(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known (tokens seen
     in training), train_tokens (N), base_score (add-one unigram) and score (of the automaton),
@@ -194,13 +206,7 @@ def lm_scores(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     all words are unknown and equally likely.
     """
     blocks = block_count(docs)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"),
-    ).repartition(blocks, "block")
+    texts = _blocked(docs, blocks).repartition(blocks, "block")
     asked = texts.groupBy("block").applyInArrow(
         _ask(blocks),
         "range int, block int, w_keys binary, w_counts binary, b_keys binary, b_counts binary",

@@ -101,9 +101,10 @@ def weights(
 def biases(sums: DataFrame, sample: DataFrame, domains: list[str]) -> list[float | None]:
     """What is added to a domain's evidence so that the probabilities of the sample add up to
     its documents of each domain; this is also how the absence of marks counts. None for a domain
-    that no document of the sample has, if it has any. At most the sample's rows reach the
-    driver."""
-    rows = sums.join(F.broadcast(sample), "doc_id").drop("name").distinct().collect()
+    that no document of the sample has, if it has any. Rows of one document count as one, with
+    their mean evidence, so at most the sample's rows reach the driver."""
+    mean = [F.avg(f"s{i}").alias(f"s{i}") for i in range(len(domains))]
+    rows = sums.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "domain").agg(*mean).collect()
     if not rows:
         return [0.0] * len(domains)
     evidence = np.array([[r[f"s{i}"] for i in range(len(domains))] for r in rows])

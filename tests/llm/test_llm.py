@@ -337,6 +337,15 @@ def test_quality_discriminant(spark, sf_dir, documents, odd, nobody):
     assert quality_qda.score_quality(nobody, labels).count() == 0
 
 
+def test_lm_scores_spread_the_rows_of_one_id(spark, monkeypatch):
+    docs = docs_of(spark, [f"a b {k % 3} c" for k in range(800)], [None] * 400 + [1] * 400)
+    want = sorted(map(str, backoff_lm.lm_scores(docs).collect()))
+    sizes = [r["count"] for r in backoff_lm._blocked(docs, 8).groupBy("block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 200 and sum(sizes) == 800
+    monkeypatch.setattr(backoff_lm, "block_count", lambda docs: 8)
+    assert sorted(map(str, backoff_lm.lm_scores(docs).collect())) == want
+
+
 def test_mixing_meets_the_targets(spark, sf_dir, documents, odd, nobody):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     targets = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
@@ -380,6 +389,16 @@ def test_the_mixed_corpus_has_the_shares_of_the_mix(spark, sf_dir, documents):
     assert abs(share - 0.05) < 0.02 and share < before
 
 
+def test_calibration_gathers_one_row_per_sampled_document(spark, monkeypatch):
+    rows = [(5, "", k, float(k % 7), -1.0) for k in range(3000)] + [(6, "", 1, 0.5, 2.0)]
+    sums = spark.createDataFrame(rows, "doc_id long, name string, n_tokens long, s0 double, s1 double")
+    sample = spark.createDataFrame([(5, "good"), (6, "toxic")], "doc_id long, domain string")
+    gathered, collect = [], type(sums).collect
+    monkeypatch.setattr(type(sums), "collect", lambda df: gathered.append(collect(df)) or gathered[-1])
+    assert None not in mixing.biases(sums, sample, ["good", "toxic"])
+    assert [len(x) for x in gathered] == [2]
+
+
 def test_mixing_without_a_domain(spark, sf_dir, documents):
     """What no document is cannot be drawn: the other targets are met, and clean texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
