@@ -102,9 +102,11 @@ def _named_rows(table: DataFrame) -> DataFrame:
     return joins.keep_keys(table, most_voted).select("name", "location", "votes", "rate")
 
 
-def _spot_check(table: DataFrame) -> DataFrame:
-    expected = rating.most_credible(table).select("name", "location", "votes", "rate")
-    return entities.spot_check(table, expected)
+def _spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity table against the survivors that the listings themselves give."""
+    survivors = entities.dedup_entities(binding.listings(spark, sf_dir))
+    expected = rating.most_credible(survivors).select("name", "location", "votes", "rate")
+    return entities.spot_check(binding.entities(spark, sf_dir), expected)
 
 
 def _active_rows(listings: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ ENTITIES: dict[str, Query] = {
     "entity_most_duplicated": _listings(entities.most_duplicated),
     "entity_consistency": _listings(entities.consistency_report),
     "entity_named_rows": _entities(_named_rows),
-    "entity_spot_check": _entities(_spot_check),
+    "entity_spot_check": _spot_check,
     "reconcile_totals": _reconcile,
 }
 

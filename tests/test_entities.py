@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dirstats.operators import entities as E
+from dirstats.testbed import registry
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +108,15 @@ def test_mean_keeps_columns_of_any_name(spark):
     df = frames.listings(spark, {}).withColumns({"_mine": F.lit(2.5), "_o": F.lit(1)})
     out = E.dedup_entities(df, strategy="mean", order="_o")
     assert "_mine" in out.columns and "_o" not in out.columns
+
+
+def test_spot_check_query_finds_a_wrong_survivor(spark, sf_dir, monkeypatch):
+    right = registry.binding.entities(spark, sf_dir)
+    check = registry.ENTITIES["entity_spot_check"]
+    rows = check(spark, sf_dir).collect()
+    assert rows and all(r.matches for r in rows)
+    first = (F.col("name") == rows[0].name) & (F.col("location") == rows[0].location)
+    wrong = right.withColumn("votes", F.when(first, F.col("votes") - 1).otherwise(F.col("votes")))
+    monkeypatch.setattr(registry.binding, "entities", lambda *_: wrong)
+    found = {(r.name, r.location): r.matches for r in check(spark, sf_dir).collect()}
+    assert found == {(r.name, r.location): r is not rows[0] for r in rows}
