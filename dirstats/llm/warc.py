@@ -209,6 +209,10 @@ class _Plain:
         self.taken += len(got)
         return got
 
+    def give_back(self, some: bytes) -> None:
+        self.data.held = some + self.data.held
+        self.taken -= len(some)
+
     def finish(self, size: int) -> None:
         self.data.skip(size - self.taken)
         while self.data.peek(2) == b"\r\n":
@@ -216,10 +220,12 @@ class _Plain:
 
 
 class _Member:
-    """The bytes of one gzip member, inflated as they are taken."""
+    """The bytes of one gzip member, inflated as they are taken. A member without a note of its
+    length can hold several records."""
 
     def __init__(self, data: _Input):
         self.data, self.length, self.used = data, None, 0
+        self.held, self.taken = b"", 0
         head = data.peek(12)
         if head[:3] != b"\x1f\x8b\x08":
             raise ValueError("not a gzip member")
@@ -235,7 +241,9 @@ class _Member:
         self.rest = b""
 
     def take(self, n: int) -> bytes:
-        out = []
+        out = [self.held[:n]]
+        self.held = self.held[n:]
+        n -= len(out[0])
         while n > 0 and not self.inflate.eof:
             part = self.inflate.unconsumed_tail
             if not part:
@@ -250,14 +258,30 @@ class _Member:
                 self.data.held = self.inflate.unused_data + self.data.held
             out.append(got)
             n -= len(got)
-        return b"".join(out)
+        found = b"".join(out)
+        self.taken += len(found)
+        return found
+
+    def give_back(self, some: bytes) -> None:
+        self.held = some + self.held
+        self.taken -= len(some)
 
     def finish(self, size: int) -> None:
+        """Goes on to the next record of the member, whose first bytes are then held, or to the
+        member's end."""
         if self.length is not None:
+            self.held = b""
             self.data.skip(self.length - self.used)
             return
-        while not self.inflate.eof:
-            self.take(1 << 20)
+        while self.taken < size:
+            if not self.take(min(1 << 20, size - self.taken)):
+                raise ValueError("a member ends inside of a record")
+        self.taken = 0
+        while more := self.take(1 << 10):
+            if rest := more.lstrip(b"\r\n"):
+                self.give_back(rest)
+                break
+        self.taken = 0
 
 
 def _headers(text: bytes) -> dict[str, str]:
@@ -325,9 +349,12 @@ class _Reader(DataSourceReader):
         return True
 
     def _records(self, source, gzip: bool) -> Iterator[dict]:
-        data = _Input(source)
-        while data.peek(4):
-            record = _Member(data) if gzip else _Plain(data)
+        data, member = _Input(source), None
+        while (member is not None and member.held) or data.peek(4):
+            if not gzip:
+                record = _Plain(data)
+            elif member is None or not member.held:
+                record = member = _Member(data)
             head, end = b"", -1
             while end < 0:
                 more = record.take(HEAD)
@@ -341,11 +368,9 @@ class _Reader(DataSourceReader):
             wanted = self._passes(headers)
             if wanted:
                 yield self._row(headers, have, block, record)
-            if not gzip:  # a plain record may have been read past its end
-                over = len(have) - block
-                if over > 0 and record.taken <= len(head):
-                    data.held = have[block:] + data.held
-                    record.taken -= over
+            # the record may have been read past its end
+            if len(have) > block and record.taken <= len(head):
+                record.give_back(have[block:])
             record.finish(end + 4 + block)
 
     def _row(self, headers: dict[str, str], have: bytes, block: int, record) -> dict:

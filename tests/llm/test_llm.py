@@ -457,6 +457,24 @@ def test_warc_of_others(spark, tmp_path):
     assert {len(r.payload) for r in rows if r.record_type == "response"} == {70_000}
 
 
+def test_warc_of_several_records_in_one_member(spark, tmp_path):
+    import gzip
+
+    def record(k, size):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + bytes([97 + k]) * size
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    sizes = [0, 5, 200_000, 3, 70_000, 1, 9000]
+    parts = [record(k, n) for k, n in enumerate(sizes)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(parts[:3])) + gzip.compress(b"".join(parts[3:])))
+    want = sorted(bytes([97 + k]) * n for k, n in enumerate(sizes))
+    rows = warc.records(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r.payload) for r in rows) == sorted(want * 2)
+    assert warc.records(spark, str(tmp_path), payload="none").count() == 2 * len(sizes)
+
+
 def test_perspectives(spark, sf_dir):
     rows = [
         (1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None),
