@@ -16,6 +16,7 @@ from dirstats.llm import (
     quality_qda,
     quality_rules,
     secret_ledger,
+    token_alignment,
     warc,
 )
 
@@ -68,6 +69,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan_secrets(table(spark, sf_dir, "documents")).drop("blob")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_jaccard_join,
             op9_lm_scores,
             op10_secret_scans,
+            op11_token_alignment,
         )
     }
 
