@@ -17,6 +17,7 @@ from dirstats.llm import (
     quality_rules,
     secret_ledger,
     token_alignment,
+    toxicity,
     warc,
 )
 
@@ -73,6 +74,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokenizers(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -88,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_lm_scores,
             op10_secret_scans,
             op11_token_alignment,
+            op12_toxicity,
         )
     }
 

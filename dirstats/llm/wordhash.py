@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class _Powers:
+class Powers:
     """Powers of an odd base and of its inverse modulo 2^64, grown on demand."""
 
     def __init__(self, base: int):
@@ -45,11 +45,12 @@ class _Powers:
         return self.up
 
 
-_UP, _DOWN = _Powers(_BASE), _Powers(_BASE_INVERSE)
-_FIRST, _SECOND = _Powers(int(_ODD[1])), _Powers(int(_ODD[2]))
+_UP, _DOWN = Powers(_BASE), Powers(_BASE_INVERSE)
+_FIRST, _SECOND = Powers(int(_ODD[1])), Powers(int(_ODD[2]))
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts, and where in them each text begins and ends; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -64,7 +65,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts). A null text has none."""
     if not len(texts):
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    raw, bounds = _buffers(texts)
+    raw, bounds = buffers(texts)
     begin, end = int(bounds[0]), int(bounds[-1])
     hashes, starts = [], []
     at = begin
