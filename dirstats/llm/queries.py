@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dirstats.llm import (
     backoff_lm,
+    conversation_trie,
     decontaminate,
     jaccard_join,
     language_id,
@@ -80,6 +81,10 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -96,9 +101,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_secret_scans,
             op11_token_alignment,
             op12_toxicity,
+            op13_conversation_trie,
         )
     }
 
 
 def statements() -> dict[str, str]:
-    return {"op6_chat_perspectives": perspectives.ROTATE_SQL}
+    return {
+        "op6_chat_perspectives": perspectives.ROTATE_SQL,
+        "op13_conversation_trie": conversation_trie.TRIE_SQL,
+    }
