@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from dirstats.llm.scratch import written
 
 #: Rows of a container beyond which it is burst.
-CONTAINER_ROWS = 4_096
+CONTAINER_ROWS = 1_024
 #: Conversation ids that one row of a long list of them holds.
 LISTED_IDS = 4_096
 #: Turns that a conversation takes from the first one of its score, and the size of a score.
