@@ -52,17 +52,9 @@ def exact_mean(value: Column, whole: bool = True) -> Column:
     return mean_of(F.sum(exact(value)), F.count(value))
 
 
-def median(value: Column, frequency: Column | None = None, approx: bool = False) -> Column:
-    """Interpolated median; ``approx`` trades exactness for constant memory.
-
-    The exact form keeps one (value, count) pair per distinct value. It suits
-    ratings and coarse prices; pass ``approx=True`` for free-form numbers.
-    """
-    if approx:
-        return F.percentile_approx(value, 0.5, 10000).cast("double")
-    if frequency is None:
-        return F.percentile(value, 0.5)
-    return F.percentile(value, 0.5, frequency)
+def approx_median(value: Column) -> Column:
+    """Median from a sketch of constant size; ``cumulative.exact_medians`` has the exact one."""
+    return F.percentile_approx(value, 0.5, 10000).cast("double")
 
 
 def distinct_count(value: Column, approx: bool = False) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import correlation_strength
-from ..functions.numeric import exact_mean, median, percent, ratio, round_half_up
+from ..functions.numeric import approx_median, exact_mean, percent, ratio, round_half_up
+from .cumulative import exact_medians, value_counts_of
 from .joins import literal_frame
 
 
@@ -114,9 +115,8 @@ def value_shares(
 def value_range(df: DataFrame, column: str, *, approx: bool = False) -> DataFrame:
     """Low, high, mean and median of a whole-number column, one row.
 
-    The median is taken over (value, count) pairs that were already combined
-    across tasks, so the one task that finishes it sees each value once.
-    ``approx`` reads the median from a sketch, for columns with free-form values.
+    The median is found by position in staged (value, count) pairs, of which only
+    the middle ones leave their task. ``approx`` reads it from a sketch instead.
     """
     value = F.col(column)
     if approx:
@@ -124,15 +124,15 @@ def value_range(df: DataFrame, column: str, *, approx: bool = False) -> DataFram
             F.min(value).alias("low"),
             F.max(value).alias("high"),
             exact_mean(value).alias("mean"),
-            median(value, approx=True).alias("median"),
+            approx_median(value).alias("median"),
         )
-    counts = df.filter(value.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(
+    counts = value_counts_of(df, column)
+    ends = counts.agg(
         F.min(value).alias("low"),
         F.max(value).alias("high"),
         ratio(F.sum(value.cast("bigint") * F.col("_n")), F.sum("_n")).alias("mean"),
-        median(value, F.col("_n")).alias("median"),
     )
+    return ends.withColumn("median", exact_medians(counts, column).scalar())
 
 
 def in_label_order(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import exact, percent, ratio
 from ..sources.staging import write_stage
+from .cumulative import running_sums, value_counts_of
 
 # monotonically_increasing_id puts the partition number above this many bits.
 _ROW_BITS = 33
@@ -28,11 +29,6 @@ def top_ranked(
     return first.withColumn(out, F.rank().over(W.orderBy(order)).cast("bigint"))
 
 
-def group_rank(order: Column) -> Column:
-    """RANK over a frame with one row per group."""
-    return F.rank().over(W.orderBy(order)).cast("bigint")
-
-
 def ntile_of(row: Column, total: Column, buckets: int) -> Column:
     """NTILE bucket of row number ``row`` out of ``total``."""
     size = F.floor(total / buckets)
@@ -102,18 +98,12 @@ def share_below(
 ) -> DataFrame:
     """Per distinct value: percent of all non-null rows that are strictly lower.
 
-    Works on a value histogram, so the running sum sees one row per distinct
-    value.
+    Works on a staged value histogram whose running sum is taken by ranges, so it
+    suits free-form doubles as well as a handful of ratings.
     """
-    histogram = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(F.col(value).alias("_units"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    lower = W.orderBy("_units").rowsBetween(W.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_n").over(lower), F.lit(0))
-    total = F.sum("_n").over(W.partitionBy())
-    return histogram.select("_units", percent(below, total, digits).alias(out))
+    counts = value_counts_of(df.select(F.col(value).alias("_units")), "_units")
+    below = running_sums(counts, "_units", "_n")
+    return below.select("_units", percent(F.col("_before"), F.col("_whole"), digits).alias(out))
 
 
 def with_share_below(
@@ -140,46 +130,48 @@ def with_share_below(
 def histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame:
     """Equal-width histogram over min..max with every bin listed, the last one closed.
 
-    Counts per distinct value come first; range and bins are then worked out on
-    that small frame in decimals, where bin edges are exact. A column with a
-    single value gets a range of 1 around it.
+    Two scans of one column: the bounds, as a scalar subquery, then the rows per bin, of which
+    each task sends one per bin. A row's bin is guessed in doubles and put right by comparing
+    exact decimals with the bin's edges. A column with a single value gets a range of 1 around
+    it, and one without values no bins.
     """
     half = F.lit(Decimal("0.5"))
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(exact(F.col(value)).alias("_units"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.select(exact(F.col(value)).alias("_units")).filter(F.col("_units").isNotNull())
+    ends = rows.agg(F.min("_units").alias("low"), F.max("_units").alias("high")).filter(
+        F.col("low").isNotNull()
+    )
+    flat = F.col("low") == F.col("high")
+    widened = ends.select(
+        F.when(flat, F.col("low") - half).otherwise(F.col("low")).alias("low"),
+        F.when(flat, F.col("high") + half).otherwise(F.col("high")).alias("high"),
     )
-    everything = W.partitionBy()
-    low, high = F.min("_units").over(everything), F.max("_units").over(everything)
-    flat = low == high
-    ranged = counts.select(
-        "_units",
-        "_n",
-        F.when(flat, low - half).otherwise(low).alias("_low"),
-        F.when(flat, high + half).otherwise(high).alias("_high"),
+    bounds = widened.agg(F.max(F.struct("low", "high"))).scalar()
+    bounded = rows.withColumn("_ends", bounds).select(
+        "_units", F.col("_ends.low").alias("_low"), F.col("_ends.high").alias("_high")
     )
     span = F.col("_high") - F.col("_low")
     along = (F.col("_units") - F.col("_low")) * bins
+    guess = F.floor(F.try_divide(along.cast("double"), span.cast("double"))).cast("bigint")
+    guessed = bounded.withColumn("_guess", F.least(F.greatest(guess, F.lit(0)), F.lit(bins - 1)))
+    fixed = (
+        F.when(along < span * F.col("_guess"), F.col("_guess") - 1)
+        .when(along >= span * (F.col("_guess") + 1), F.col("_guess") + 1)
+        .otherwise(F.col("_guess"))
+    )
+    counted = guessed.groupBy(F.least(fixed, F.lit(bins - 1)).cast("bigint").alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    listed = widened.select(
+        "low", "high", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("_at")
+    )
+    width = F.col("high") - F.col("low")
 
-    def in_bin(i: int) -> Column:
-        from_here = along >= span * i
-        return from_here if i == bins - 1 else from_here & (along < span * (i + 1))
+    def edge(step: Column) -> Column:
+        return ratio((F.col("low") * bins + width * step) * 10**4, F.lit(bins * 10**4))
 
-    row = ranged.groupBy("_low", "_high").agg(
-        *[F.sum(F.when(in_bin(i), F.col("_n")).otherwise(0)).alias(f"_{i}") for i in range(bins)]
+    return listed.join(counted, F.col("_at") == F.col("_bin"), "left").select(
+        (F.col("_at") + 1).alias("bin"),
+        edge(F.col("_at")).alias("bin_from"),
+        edge(F.col("_at") + 1).alias("bin_to"),
+        F.coalesce("_n", F.lit(0)).cast("bigint").alias("row_count"),
     )
-
-    def edge(step: int) -> Column:
-        return ratio((F.col("_low") * bins + span * step) * 10**4, F.lit(bins * 10**4))
-
-    cells = [
-        F.struct(
-            F.lit(i + 1).cast("bigint").alias("bin"),
-            edge(i).alias("bin_from"),
-            edge(i + 1).alias("bin_to"),
-            F.col(f"_{i}").alias("row_count"),
-        )
-        for i in range(bins)
-    ]
-    return row.select(F.inline(F.array(*cells)))

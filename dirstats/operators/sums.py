@@ -63,14 +63,17 @@ def merged_columns() -> list[Column]:
     return [F.sum(name).alias(name) for name in sum_columns()]
 
 
-def with_platform(sums: DataFrame, *names: str) -> DataFrame:
+def with_platform(sums: DataFrame, *names: str, few: bool = False) -> DataFrame:
     """Add ``_all<name>``: each named sum over the whole frame.
 
-    The frame has one row per group, so the single-partition window it needs
-    handles as many rows as there are groups.
+    The totals are scalar subqueries, so no task has to hold all groups. ``few`` is for groups
+    that a fixed list of labels bounds: a window over those rows saves a scan.
     """
-    everything = W.partitionBy()
-    return sums.withColumns({f"_all{name}": F.sum(name).over(everything) for name in names})
+    if few:
+        everything = W.partitionBy()
+        return sums.withColumns({f"_all{name}": F.sum(name).over(everything) for name in names})
+    totals = sums.agg(*[F.sum(name).alias(name) for name in names])
+    return sums.withColumns({f"_all{name}": totals.select(name).scalar() for name in names})
 
 
 # Derived metrics: Column expressions over the sums above. ``prefix`` selects

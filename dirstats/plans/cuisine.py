@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.numeric import percent, ratio, round_half_up
 from ..operators import sums as M
-from ..operators.ranking import group_rank
+from ..operators.cumulative import with_ranks
 from ..schema import FIELDS, Fields
 
 
@@ -87,7 +87,7 @@ def cuisine_stats(
 ) -> DataFrame:
     """Both ranks and all metrics for every cuisine with enough entities.
 
-    Ranks run over one row per cuisine.
+    Ranks are taken over ranges of the cuisines' counts and ratings.
     """
     sums = M.group_sums(entities, ["primary_cuisine"], fields=fields)
     platform = M.with_platform(sums, "_rate", "_rated")
@@ -104,15 +104,9 @@ def cuisine_stats(
         M.unrated_pct().alias("unrated_pct"),
         M.performance_index().alias("performance_index"),
     )
-    return measured.withColumns(
-        {
-            "popularity_rank": group_rank(F.desc("total_count")),
-            "quality_rank": group_rank(F.desc_nulls_last("avg_rating")),
-            "performance_tier": L.at_least(
-                F.col("avg_rating"), L.PERFORMANCE_TIERS, L.PERFORMANCE_ELSE
-            ),
-        }
-    )
+    tier = L.at_least(F.col("avg_rating"), L.PERFORMANCE_TIERS, L.PERFORMANCE_ELSE)
+    ranks = {"popularity_rank": ("total_count", True), "quality_rank": ("avg_rating", True)}
+    return with_ranks(measured, ranks).withColumn("performance_tier", tier)
 
 
 def popularity(entities: DataFrame, *, min_rows: int = 50, top: int = 15) -> DataFrame:

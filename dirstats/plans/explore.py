@@ -129,7 +129,7 @@ def rating_summary(listings: DataFrame, good_from: float = 3.5) -> DataFrame:
 
 def price_tier_ratings(listings: DataFrame) -> DataFrame:
     """Count (0 if absent), share and mean rating (null if absent) per tier."""
-    tiers = M.with_platform(M.group_sums(listings, ["price_category"]), "_n").select(
+    tiers = M.with_platform(M.group_sums(listings, ["price_category"]), "_n", few=True).select(
         "price_category",
         M.n_rows().alias("row_count"),
         M.share("_n", "_all_n").alias("pct_of_total"),
@@ -167,11 +167,11 @@ def location_ratings(listings: DataFrame, *, top: int = 15, min_rows: int = 100)
 
 def location_summary(listings: DataFrame, *, top: int = 15, min_rows: int = 100) -> DataFrame:
     """Number of locations, the largest, and the best and worst rated of the top ones."""
-    everything = W.partitionBy()
+    total = listings.agg(F.count_distinct("location")).scalar()
     largest = (
         M.group_sums(listings, ["location"])
         .filter(F.col("location").isNotNull())
-        .withColumn("_locations", F.count(F.lit(1)).over(everything))
+        .withColumn("_locations", total)
         .orderBy(F.desc("_n"), "location")
         .limit(top)
     )
@@ -230,7 +230,7 @@ def leader_summary(listings: DataFrame, column: str, *, top: int = 3) -> DataFra
 def online_by_tier(listings: DataFrame) -> DataFrame:
     """Online ordering share per tier next to the overall share."""
     tiers = M.with_platform(
-        M.group_sums(listings, ["price_category"]), "_online", "_online_n"
+        M.group_sums(listings, ["price_category"]), "_online", "_online_n", few=True
     ).select(
         "price_category",
         M.online_pct().alias("online_order_pct"),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.numeric import round_half_up
 from ..operators import sums as M
-from ..operators.ranking import group_rank, top_ranked
+from ..operators.cumulative import with_ranks
+from ..operators.ranking import top_ranked
 from ..schema import FIELDS, Fields
 
 
@@ -123,12 +124,12 @@ def scorecard(
 ) -> DataFrame:
     """Size, value and digital ranking side by side for every large location.
 
-    The three rankings come from the same sums, so no join is needed; a
-    location below the value floors has a null value rank and score.
+    The rankings are taken over ranges of the same staged sums; a location below
+    the value floors has a null value rank and score.
     """
     qualifies = _value_floor(min_rows, min_rated, min_rate)
     value = F.when(qualifies, M.value_score())
-    return (
+    scored = (
         M.with_platform(M.group_sums(entities, [by], fields=fields), "_n", "_online", "_online_n")
         .filter(F.col("_n") >= min_rows)
         .select(
@@ -138,13 +139,20 @@ def scorecard(
             M.avg_rating().alias("avg_rating"),
             M.avg_cost().alias("avg_cost"),
             M.quality_score().alias("quality_score_pct"),
-            F.when(value.isNotNull(), group_rank(value.desc_nulls_last())).alias("value_rank"),
             value.alias("value_score"),
-            group_rank(M.online_pct().desc()).alias("digital_rank"),
             M.online_pct().alias("online_order_pct"),
             _vs_platform_online().alias("vs_platform_avg"),
             M.digital_score().alias("digital_score"),
             _market_type().alias("market_type"),
         )
-        .orderBy(F.desc("total_restaurants"), by)
     )
+    ranks = {"value_rank": ("value_score", True), "digital_rank": ("online_order_pct", True)}
+    ranked = with_ranks(scored, ranks)
+    shown = F.when(F.col("value_score").isNotNull(), F.col("value_rank"))
+    return ranked.select(
+        *scored.columns[:6],
+        shown.alias("value_rank"),
+        "value_score",
+        "digital_rank",
+        *scored.columns[7:],
+    ).orderBy(F.desc("total_restaurants"), by)

@@ -22,7 +22,7 @@ def tier_performance(
     Jumps difference the rounded averages. The windows see one row per tier.
     """
     order = L.ordinal(F.col(by), L.PRICE_TIERS)
-    tiers = M.with_platform(M.group_sums(entities, [by], fields=fields), "_n").select(
+    tiers = M.with_platform(M.group_sums(entities, [by], fields=fields), "_n", few=True).select(
         by,
         order.alias("_order"),
         M.n_rows().alias("total_restaurants"),

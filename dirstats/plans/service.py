@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.numeric import median, percent, round_half_up
+from ..functions.numeric import percent, round_half_up
 from ..operators import sums as M
+from ..operators.cumulative import exact_medians, value_counts_of
 from ..operators.joins import null_safe_join
 from ..schema import FIELDS, Fields
 
@@ -16,20 +17,16 @@ from ..schema import FIELDS, Fields
 def online_vs_dinein(entities: DataFrame) -> DataFrame:
     """Online ordering against dine-in only.
 
-    Each exact median is taken from its own small frame of (flag, value, count),
-    already combined across tasks, so raw rows never reach a percentile buffer.
+    Each exact median is found by position in staged counts of (flag, value), which are as
+    narrow as they can be: a continuous rating or cost has about as many of them as rows.
     """
-    by_rate = M.group_sums(entities, ["online_order", "rate"])
-    by_cost = entities.groupBy("online_order", "approx_cost").agg(F.count(F.lit(1)).alias("_n"))
-    rates = by_rate.groupBy("online_order").agg(
-        *M.merged_columns(), median(F.col("rate"), F.col("_n")).alias("_median_rate")
-    )
-    costs = by_cost.groupBy("online_order").agg(
-        median(F.col("approx_cost"), F.col("_n")).alias("_median_cost")
-    )
-    flags = null_safe_join(rates, costs, ["online_order"])
+    flags = M.group_sums(entities, ["online_order"])
+    for value, out in (("rate", "_median_rate"), ("approx_cost", "_median_cost")):
+        counts = value_counts_of(entities, value, ["online_order"])
+        medians = exact_medians(counts, value, by=["online_order"], out=out)
+        flags = null_safe_join(flags, medians, ["online_order"], "left")
     return (
-        M.with_platform(flags, "_n", "_rate", "_rated")
+        M.with_platform(flags, "_n", "_rate", "_rated", few=True)
         .orderBy(F.desc("online_order"))
         .select(
             L.service_type(F.col("online_order")).alias("service_type"),
@@ -76,18 +73,25 @@ def tier_composition(entities: DataFrame) -> DataFrame:
 def service_segments(entities: DataFrame) -> DataFrame:
     """Four service segments and the platform as a benchmark row.
 
-    The base rows are aggregated once per (segment, rating). The rollup that
-    adds the benchmark row expands only that frame, a few rows per segment.
+    The rollup that adds the benchmark row expands one row of sums per segment; the exact
+    medians are found by position in staged counts of (segment, rating).
     """
     segment = L.service_segment(F.col("online_order"), F.col("book_table"))
-    cells = M.group_sums(
-        entities.withColumn("service_segment", segment), ["service_segment", "rate"]
+    named = entities.withColumn("service_segment", segment)
+    sums = M.group_sums(named, ["service_segment"]).rollup("service_segment").agg(
+        *M.merged_columns(), F.grouping("service_segment").cast("int").alias("_is_total")
     )
-    rolled = cells.rollup("service_segment").agg(
-        *M.merged_columns(),
-        median(F.col("rate"), F.col("_n")).alias("_median_rate"),
-        F.grouping("service_segment").alias("_is_total"),
+    both = F.explode(F.array(F.lit(0), F.lit(1)))
+    counts = (
+        value_counts_of(named, "rate", ["service_segment"])
+        .select("service_segment", "rate", "_n", both.alias("_is_total"))
+        .withColumn("service_segment", F.when(F.col("_is_total") == 0, F.col("service_segment")))
+        .groupBy("_is_total", "service_segment", "rate")
+        .agg(F.sum("_n").alias("_n"))
     )
+    group = ["_is_total", "service_segment"]
+    medians = exact_medians(counts, "rate", by=group, out="_median_rate")
+    rolled = null_safe_join(sums, medians, group, "left")
     is_total = F.col("_is_total") == 1
     total = W.partitionBy()
 

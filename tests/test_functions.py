@@ -161,12 +161,6 @@ def test_scores(spark):
     assert tuple(row.first()) == (20.71, 2.93, None, 38.0, 8.0)
 
 
-@pytest.mark.parametrize("rows,expected", [([1, 2, 3, 4], 2.5), ([5], 5.0), ([None, 2], 2.0)])
-def test_median(spark, rows, expected):
-    df = spark.createDataFrame([(r,) for r in rows], "v int")
-    assert df.agg(numeric.median(F.col("v"))).first()[0] == expected
-
-
 def test_exact_mean_ignores_order(spark):
     values = [0.1, 0.2, 0.3, 3.3] * 7 + [None]
     df = spark.createDataFrame([(v,) for v in values], "v double")

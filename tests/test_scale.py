@@ -107,7 +107,7 @@ def test_dominant_cuisine_needs_no_window_over_rows(spark, sf_dir):
 def test_rollup_expands_only_aggregated_rows(spark, sf_dir):
     plan = executed(QUERIES["q12a_service_segments"](spark, sf_dir)).split("== Initial Plan")[0]
     below_expand = plan[plan.index("Expand") :]
-    assert "HashAggregate" in below_expand and below_expand.count("FileScan") == 1
+    assert "HashAggregate" in below_expand[: below_expand.index("FileScan")]
 
 
 @pytest.mark.parametrize(
