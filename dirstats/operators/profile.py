@@ -152,22 +152,33 @@ def in_label_order(
     return joined.fillna(0, subset=list(zero_filled)) if zero_filled else joined
 
 
+#: Type in which moments are summed: values to 10^13 with squares to 10^26.
+_MOMENT = "decimal(36,10)"
+
+
 def _pearson(a: str, b: str, complete: Sequence[str]) -> Column:
     """Correlation over rows where both are present; null if either is constant there.
 
-    The built-in ``corr`` divides by zero on a constant column under ANSI mode,
-    so the quotient is formed here. Constancy is read from the exact minimum and
-    maximum: merging partial moments can leave a constant a tiny variance.
+    The built-in ``corr`` merges partial moments in the order in which they arrive, and
+    divides by zero on a constant column under ANSI mode. Here a row's value, square and
+    product are rounded to ``_MOMENT`` first and then summed exactly, so the result has
+    the same bits however the rows are spread. Constancy is read from the minimum and
+    maximum.
     """
 
     def present(name: str, other: str) -> Column:
         value = F.col(name).cast("double")
         return value if other in complete else F.when(F.col(other).isNotNull(), value)
 
+    def moment(value: Column) -> Column:
+        return F.sum(value.cast(_MOMENT)).cast("double")
+
     x, y = present(a, b), present(b, a)
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    n = F.count(x * y).cast("double")
+    sx, sy = moment(x), moment(y)
+    spread = F.sqrt(n * moment(x * x) - sx * sx) * F.sqrt(n * moment(y * y) - sy * sy)
     vary = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(vary, F.try_divide(F.covar_pop(x, y), spread))
+    return F.when(vary, F.try_divide(n * moment(x * y) - sx * sy, spread))
 
 
 def correlation_matrix(
@@ -233,5 +244,22 @@ def cleaned_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def column_profile(df: DataFrame) -> DataFrame:
+    """Per column its place, type, and filled and missing cells, from one aggregation."""
+    fields = df.schema.fields
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(_quoted(f.name)).alias(f"_{i}") for i, f in enumerate(fields)])
+    cells = [
+        F.struct(
+            F.lit(i + 1).cast("bigint").alias("position"),
+            F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.col(f"_{i}").alias("non_null"),
+            (F.col("_n") - F.col(f"_{i}")).alias("nulls"),
+        )
+        for i, f in enumerate(fields)
+    ]
+    return row.select(F.inline(F.array(*cells)))
+
+
 def preview(df: DataFrame, rows: int = 5) -> DataFrame:
     return df.limit(rows)

@@ -20,6 +20,7 @@ from ..functions import scores
 from ..functions.labels import PRICE_TIERS, QUALITY_LABELS, RATING_LABELS
 from ..functions.numeric import exact, mean_of, percent, ratio, round_half_up
 from ..schema import FIELDS, Fields
+from ..sources.staging import write_stage
 
 _LABEL_SUMS = {label: f"_label_{label.lower()}" for label in RATING_LABELS}
 _TIER_SUMS = {tier: f"_tier_{i}" for i, tier in enumerate(PRICE_TIERS, 1)}
@@ -66,12 +67,14 @@ def merged_columns() -> list[Column]:
 def with_platform(sums: DataFrame, *names: str, few: bool = False) -> DataFrame:
     """Add ``_all<name>``: each named sum over the whole frame.
 
-    The totals are scalar subqueries, so no task has to hold all groups. ``few`` is for groups
-    that a fixed list of labels bounds: a window over those rows saves a scan.
+    The sums are staged, so that the base table is read once, and the totals are scalar
+    subqueries over them: no task has to hold all groups. ``few`` is for groups that a fixed
+    list of labels bounds; a window over those few rows does.
     """
     if few:
         everything = W.partitionBy()
         return sums.withColumns({f"_all{name}": F.sum(name).over(everything) for name in names})
+    sums = write_stage(sums, "sums")
     totals = sums.agg(*[F.sum(name).alias(name) for name in names])
     return sums.withColumns({f"_all{name}": totals.select(name).scalar() for name in names})
 

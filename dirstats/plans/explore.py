@@ -32,6 +32,7 @@ from ..operators.profile import (
     value_shares,
 )
 from ..operators.ranking import histogram
+from ..sources.staging import write_stage
 
 NUMERIC_COLUMNS = ("online_order", "book_table", "rate", "votes", "approx_cost", "cuisine_count")
 # Cleaning leaves no null in these.
@@ -167,11 +168,12 @@ def location_ratings(listings: DataFrame, *, top: int = 15, min_rows: int = 100)
 
 def location_summary(listings: DataFrame, *, top: int = 15, min_rows: int = 100) -> DataFrame:
     """Number of locations, the largest, and the best and worst rated of the top ones."""
-    total = listings.agg(F.count_distinct("location")).scalar()
+    sums = write_stage(
+        M.group_sums(listings, ["location"]).select("location", "_n", "_rate", "_rated"), "sums"
+    )
     largest = (
-        M.group_sums(listings, ["location"])
-        .filter(F.col("location").isNotNull())
-        .withColumn("_locations", total)
+        sums.filter(F.col("location").isNotNull())
+        .withColumn("_locations", sums.agg(F.count("location")).scalar())
         .orderBy(F.desc("_n"), "location")
         .limit(top)
     )

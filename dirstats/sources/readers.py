@@ -35,6 +35,11 @@ NULL_TOKENS = (
 )
 
 
+#: What the note on a malformed record begins with.
+FIELDS, VALUE = "fields", "value"
+_RECORD = "_malformed_record"
+
+
 def blank_to_null(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     """Turn missing-value texts in string columns into null."""
     return df.select(
@@ -55,35 +60,70 @@ def read_csv(
     multiline: bool = False,
     null_tokens: Sequence[str] = NULL_TOKENS,
     ordinal: str | None = None,
+    malformed: str | None = None,
 ) -> DataFrame:
     """CSV with header, doubled-quote escapes and an optional byte-order mark.
 
     ``multiline`` is needed when quoted text holds line breaks; it makes a file
     one task, so large exports should be many files. ``ordinal`` adds a column
-    that follows file order; it is refused for several files, whose rows have no
-    order unless they bring one.
+    that follows the rows: a number for a single file, and for several a struct of
+    file path, block and place in it, so that the files come in order of their paths.
+
+    A record that does not fit ends the job. With ``malformed`` it stays instead:
+    that column says what is wrong with it (``FIELDS`` and the record, or ``VALUE``
+    and the fields that are no value of their type) and is null in good records.
     """
     # Numbers are read as text first, so that a missing-value text in a numeric
     # column is a null and not a malformed record.
     text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    if malformed:
+        text_schema = text_schema.add(_RECORD, T.StringType())
     rows = (
         spark.read.schema(text_schema)
         .option("header", True)
         .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
-        .option("mode", "FAILFAST")
+        .option("mode", "PERMISSIVE" if malformed else "FAILFAST")
+        .option("columnNameOfCorruptRecord", _RECORD)
         .option("enforceSchema", False)
         .csv(path)
     )
-    typed = blank_to_null(rows, null_tokens).select(
-        *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
+    extra = []
+    if ordinal:
+        place = F.monotonically_increasing_id()
+        if len(rows.inputFiles()) > 1:
+            place = F.struct("_metadata.file_path", "_metadata.file_block_start", place.alias("place"))
+        extra = [place.alias(ordinal)]
+    clean = {f.name: null_if_in(F.col(f"`{f.name}`"), null_tokens) for f in schema.fields}
+    if not malformed:
+        fields = [clean[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
+        return rows.select(*fields, *extra)
+    value = {f.name: clean[f.name].try_cast(f.dataType) for f in schema.fields}
+    wrong = F.concat_ws(
+        ", ",
+        *[
+            F.when(clean[n].isNotNull() & v.isNull(), F.concat(F.lit(f"{n}="), clean[n]))
+            for n, v in value.items()
+        ],
+    )
+    whole = F.col(_RECORD).isNull()
+    said = F.when(~whole, F.concat(F.lit(f"{FIELDS}: "), _RECORD)).when(
+        wrong != "", F.concat(F.lit(f"{VALUE}: "), wrong)
+    )
+    fields = [F.when(whole, v).alias(n) for n, v in value.items()]
+    return rows.select(*fields, said.alias(malformed), *extra)
+
+
+def malformed_report(rows: DataFrame, malformed: str) -> DataFrame:
+    """One row: records read, and of them the good ones and the bad ones by what is wrong."""
+    said = F.col(malformed)
+    return rows.agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(said.isNull()).alias("good"),
+        F.count_if(said.startswith(f"{FIELDS}:")).alias("wrong_fields"),
+        F.count_if(said.startswith(f"{VALUE}:")).alias("wrong_values"),
     )
-    if not ordinal:
-        return typed
-    if len(rows.inputFiles()) > 1:
-        raise ValueError("ordinal needs a single file; several files have to bring an order")
-    return typed.withColumn(ordinal, F.monotonically_increasing_id())
 
 
 def read_raw(spark: SparkSession, path: str | list[str], **options: object) -> DataFrame:

@@ -607,6 +607,26 @@ def _cleaning() -> dict[str, str]:
         "engineer_features": from_listings(
             f"SELECT {_CLEAN_NAMES}, {_FEATURE_NAMES} FROM listings"
         ),
+        "csv_listings": from_listings(f"SELECT {_CLEAN_NAMES}, {_FEATURE_NAMES} FROM listings"),
+        "csv_clean_listings": from_listings(f"SELECT {_CLEAN_NAMES} FROM clean"),
+        "csv_malformed_report": (
+            "SELECT count(*) AS records, "
+            f"{count_if('c_custkey % 7 <> 0 AND c_custkey % 11 <> 0')} AS good, "
+            f"{count_if('c_custkey % 7 = 0')} AS wrong_fields, "
+            f"{count_if('c_custkey % 7 <> 0 AND c_custkey % 11 = 0')} AS wrong_values FROM customer"
+        ),
+        "first_rows": over(
+            PARSED,
+            f"SELECT {_CLEAN_NAMES} FROM parsed ORDER BY l_orderkey, l_linenumber, l_suppkey LIMIT 5",
+        ),
+        "column_profile": from_listings(
+            " UNION ALL ".join(
+                f"SELECT CAST({i} AS BIGINT) AS position, '{c.strip()}' AS column_name, "
+                f"'{_TYPES.get(c.strip(), 'string')}' AS data_type, count({c.strip()}) AS non_null, "
+                f"count(*) - count({c.strip()}) AS nulls FROM clean"
+                for i, c in enumerate(_CLEAN_NAMES.split(","), 1)
+            )
+        ),
         "profile_missing": from_raw(f"SELECT * FROM ({missing}) WHERE missing_count > 0"),
         "profile_frequencies": from_raw(frequent),
         "duplicate_rows": from_raw(
@@ -720,10 +740,14 @@ def _entity() -> dict[str, str]:
             "ORDER BY sum(votes) DESC, name LIMIT 3)",
         ),
         "entity_spot_check": from_entities(
-            "SELECT e.name, e.location, e.votes, e.rate, a.votes AS actual_votes, "
-            "a.rate AS actual_rate, TRUE AS matches FROM q JOIN entities e USING (name, location) "
-            "JOIN entities a USING (name, location)",
-            "q AS (SELECT name, location FROM entities WHERE rate >= 4.0 AND votes >= 500 ORDER BY "
+            "SELECT q.name, q.location, q.votes, q.rate, a.votes AS actual_votes, "
+            "a.rate AS actual_rate, (a.votes IS NOT DISTINCT FROM q.votes "
+            "AND a.rate IS NOT DISTINCT FROM q.rate) AS matches "
+            "FROM q LEFT JOIN entities a USING (name, location)",
+            "most AS (SELECT name, location, max(votes) AS votes FROM listings GROUP BY ALL)",
+            "own AS (SELECT l.name, l.location, l.votes, max(l.rate) AS rate FROM listings l "
+            "JOIN most USING (name, location, votes) GROUP BY ALL)",
+            "q AS (SELECT * FROM own WHERE rate >= 4.0 AND votes >= 500 ORDER BY "
             f"{rnd('rate * log10(votes + 1)', 2)} DESC, votes DESC, name, location LIMIT 10)",
         ),
         "reconcile_totals": from_entities(
@@ -965,6 +989,12 @@ def _cross() -> dict[str, str]:
     }
 
 
+_TYPES = {
+    "online_order": "int", "book_table": "int", "rate": "double", "votes": "bigint",
+    "approx_cost": "int",
+}
+
+
 def statements() -> dict[str, str]:
     parts = (
         _summaries(),
@@ -978,4 +1008,6 @@ def statements() -> dict[str, str]:
         _explore(),
         _cross(),
     )
-    return {name: sql for part in parts for name, sql in part.items()}
+    found = {name: sql for part in parts for name, sql in part.items()}
+    same = {"csv_attach_coordinates": "attach_coordinates", "csv_result": "q9_price_tier"}
+    return found | {name: found[of] for name, of in same.items()}

@@ -109,6 +109,66 @@ def _spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.spot_check(binding.entities(spark, sf_dir), expected)
 
 
+def _through_csv(df: DataFrame, label: str, **options: object) -> str:
+    path = staging.new_path(df.sparkSession, label)
+    writers.write_csv(df, path, **options)
+    return path
+
+
+def _csv_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _through_csv(binding.listings(spark, sf_dir), "listings-csv")
+    return readers.read_listings(spark, path)
+
+
+def _csv_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning from a quoted export of several files whose rows bring no order of their own."""
+    raw = binding.raw_listings(spark, sf_dir)
+    review = F.concat(F.lit('said "good",\n"'), F.col("name"), F.lit('"\n'))
+    named = raw.withColumn("reviews_list", review)
+    fields = [F.col(f"`{c}`") for c in S.RAW.fieldNames()]
+    ordered = named.orderBy(*binding.INGEST_ORDER).select(*fields)
+    exported = readers.read_raw(spark, _through_csv(ordered, "raw-csv"), ordinal="place")
+    parsed = staging.write_stage(cleaning.parse_listings(exported), "parsed-csv")
+    return cleaning.clean_parsed(parsed, ["place"])
+
+
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coordinate file in which some records lack a field and some a number."""
+    key = F.col("c_custkey")
+    latitude = F.when(key % 11 == 0, F.lit("north")).otherwise((key % 90).cast("string"))
+    fields = [F.concat(F.lit('"'), "c_name", F.lit('"')), latitude]
+    longitude = F.when(key % 7 != 0, (key % 180).cast("string"))
+    lines = readers.read_table(spark, f"{sf_dir}/customer.parquet").select(
+        F.concat_ws(",", *fields, longitude).alias("line"), F.spark_partition_id().alias("part")
+    )
+    path = staging.new_path(spark, "bad-csv")
+    header = F.lit(",".join(S.COORD.fieldNames()))
+    headed = lines.withColumn("line", F.explode(F.array("line")))
+    titles = lines.limit(1).select(header.alias("line"), F.lit(-1).alias("part"))
+    one_file = headed.unionByName(titles).coalesce(1).sortWithinPartitions("part")
+    one_file.select("line").write.text(path)
+    rows = readers.read_csv(spark, path, S.COORD, malformed="problem")
+    return readers.malformed_report(rows, "problem")
+
+
+def _csv_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _through_csv(_coordinates(spark, sf_dir), "coordinates-csv", sort_by=["location"])
+    rows = binding.entities(spark, sf_dir).select("name", "location", "rate", "approx_cost")
+    return cross.attach_coordinates(rows, readers.read_coordinates(spark, path))
+
+
+def _csv_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = pricing.tier_performance(binding.entities(spark, sf_dir))
+    folder = staging.new_path(spark, "results-csv")
+    writers.write_results({"tiers": result}, folder)
+    return readers.read_result(spark, f"{folder}/tiers", result.schema)
+
+
+def _first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = binding.parsed(spark, sf_dir).orderBy(*binding.INGEST_ORDER)
+    return profile.preview(rows).select(*S.CLEAN.fieldNames())
+
+
 def _active_rows(listings: DataFrame) -> DataFrame:
     active = joins.keys_with_at_least(listings, "location", 100)
     kept = joins.keep_keys(listings, active, stage=True)
@@ -194,6 +254,13 @@ CLEANING: dict[str, Query] = {
     "reject_report": _raw(cleaning.reject_report),
     "cleaned_profile": _listings(_clean_profile),
     "write_verify": _write_verify,
+    "column_profile": lambda spark, sf_dir: profile.column_profile(_clean(spark, sf_dir)),
+    "first_rows": _first_rows,
+    "csv_listings": _csv_listings,
+    "csv_clean_listings": _csv_clean,
+    "csv_malformed_report": _csv_rejects,
+    "csv_attach_coordinates": _csv_attach,
+    "csv_result": _csv_result,
     "listings_by_sql": _by_sql,
     "distinct_locations": _listings(cross.distinct_locations),
 }

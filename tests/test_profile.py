@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import frames
 from pyspark.sql import functions as F
 
@@ -97,3 +99,17 @@ def test_key_filters(spark):
     assert frames.column(top, "k") == ["a", "a", "a"]
     dim = spark.createDataFrame([("a",)], "k string")
     assert sorted(frames.column(joins.missing_keys(df, dim, "k"), "k")) == ["b", "c"]
+
+
+def test_correlations_have_the_same_bits_however_rows_are_spread(spark, sf_dir):
+    rng = random.Random(11)
+    rows = [(rng.gauss(3, 1), rng.random() * 1e6, rng.choice([None, 1, 2])) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "a double, b double, c int")
+    exact = [
+        profile.correlation_matrix(df.repartition(n), ["a", "b", "c"], digits=12).orderBy("col_a", "col_b").collect()
+        for n in (1, 64)
+    ]
+    assert exact[0] == exact[1]
+    built_in = df.agg(F.corr("a", "b")).first()[0]
+    found = {(r.col_a, r.col_b): r["corr"] for r in exact[0]}
+    assert abs(found["a", "b"] - built_in) < 1e-9

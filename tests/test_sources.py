@@ -134,10 +134,60 @@ def test_write_results(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/b", header=True).count() == 1
 
 
-def test_ordinal_needs_one_file(spark, tmp_path):
-    paths = [raw_csv(tmp_path / name, ROWS) for name in ("a.csv", "b.csv")]
-    with pytest.raises(ValueError, match="single file"):
-        readers.read_raw(spark, paths, ordinal="n")
+def test_several_files_are_in_order_of_their_paths(spark, tmp_path):
+    rows = [{"name": f"n{i}", "votes": i, "reviews_list": 'a "b",\nc'} for i in range(60)]
+    whole = readers.read_raw(spark, raw_csv(tmp_path / "all.csv", rows), ordinal="n")
+    (tmp_path / "parts").mkdir()
+    for k, (at, end) in enumerate([(0, 3), (3, 50), (50, 60)]):
+        raw_csv(tmp_path / "parts" / f"{k}.csv", rows[at:end])
+    parts = readers.read_raw(spark, str(tmp_path / "parts"), ordinal="n")
+    names = [[r.name for r in df.orderBy("n").collect()] for df in (whole, parts)]
+    assert names[0] == names[1] == [f"n{i}" for i in range(60)]
+    clean = [clean_listings(df, ["n"]).orderBy("name").collect() for df in (whole, parts)]
+    assert clean[0] == clean[1]
+
+
+def test_malformed_records_stay_with_a_note(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text('location,latitude,longitude\na,1.5,2\nb,1.0\n"c, d",x,y\ne,,3\nf,1,2,3\n')
+    rows = readers.read_csv(spark, str(path), S.COORD, malformed="bad", ordinal="n")
+    found = {r.n: (r.location, r.latitude, r.bad) for r in rows.collect()}
+    assert found == {
+        0: ("a", 1.5, None),
+        1: (None, None, "fields: b,1.0"),
+        2: ("c, d", None, "value: latitude=x, longitude=y"),
+        3: ("e", None, None),
+        4: (None, None, "fields: f,1,2,3"),
+    }
+    assert tuple(readers.malformed_report(rows, "bad").first()) == (5, 2, 2, 1)
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        readers.read_coordinates(spark, str(path)).collect()
+
+
+def test_csv_keeps_white_space(spark, tmp_path):
+    df = spark.createDataFrame([(" a ", 1.0, 2.0), ('"q", ', None, -0.1)], S.COORD)
+    writers.write_csv(df, str(tmp_path / "x"))
+    back = readers.read_coordinates(spark, str(tmp_path / "x"))
+    assert writers.verify_written(df, back).first()[3:] == (True, 0, 0)
+
+
+def test_a_failed_write_keeps_the_old_table(spark, monkeypatch):
+    name = "kept_table"
+    writers.replace_table(spark.range(3), name)
+    broken = spark.range(5).select(
+        F.when(F.col("id") == 4, F.raise_error(F.lit("broken")).cast("bigint")).otherwise(F.col("id")).alias("id")
+    )
+    with pytest.raises(Exception):  # noqa: B017  its text depends on the task that fails first
+        writers.replace_table(broken, name)
+    assert spark.table(name).count() == 3 and not spark.catalog.tableExists(f"{name}__new")
+    verify = writers.verify_written
+    with monkeypatch.context() as m, pytest.raises(writers.NotWritten):
+        m.setattr(writers, "verify_written", lambda a, b: verify(a, b.filter("id < 3")))
+        writers.replace_table(spark.range(5), name)
+    assert spark.table(name).count() == 3
+    writers.replace_table(spark.table(name).select((F.col("id") + 1).alias("id")), name)
+    assert sorted(r.id for r in spark.table(name).collect()) == [1, 2, 3]
+    spark.sql(f"DROP TABLE {name}")
 
 
 def test_verify_compares_types_and_columns(spark):
