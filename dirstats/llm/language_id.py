@@ -82,16 +82,8 @@ class _Vectors:
         return self.rows[np.searchsorted(self.keys, keys)]
 
 
-def _grams(letters: np.ndarray, gram: int) -> np.ndarray:
-    """n-grams of a text's letters as integers. Runs of other characters are one gap, and a gap
-    stands at either end; n-grams without a letter do not occur then."""
-    gap = letters == _GAP
-    keep = ~gap
-    keep[1:] |= gap[1:] & ~gap[:-1]
-    s = letters[keep]
-    if not len(s) or (len(s) == 1 and s[0] == _GAP):
-        return np.zeros(0, np.int64)
-    s = np.concatenate([[_GAP] * int(s[0] != _GAP), s, [_GAP] * int(s[-1] != _GAP)]).astype(np.int64)
+def _grams(s: np.ndarray, gram: int) -> np.ndarray:
+    """n-grams of letters as integers."""
     out = np.zeros(max(0, len(s) - gram + 1), dtype=np.int64)
     for k in range(gram):
         out = (out << 21) | s[k : k + len(out)]
@@ -103,13 +95,26 @@ class _Bundler:
         self.letters, self.vectors = _Letters(), _Vectors(dimensions, gram)
 
     def counted(self, text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Distinct n-grams of a text and their counts, piece by piece."""
-        out = []
-        for at in range(0, len(text or ""), PIECE):
+        """Distinct n-grams of a text and their counts, piece by piece. Runs of other characters
+        than letters are one gap, and a gap stands at either end. A piece begins with the last
+        letters of the one before, so the pieces have the n-grams of the whole text."""
+        gram, out = self.vectors.gram, []
+        carried = np.array([_GAP], dtype=np.int64)
+        size = len(text or "")
+        for at in range(0, size, PIECE):
             raw = text[at : at + PIECE].encode("utf-32-le", "surrogatepass")
-            grams = _grams(self.letters(np.frombuffer(raw, np.uint32)), self.vectors.gram)
+            letters = self.letters(np.frombuffer(raw, np.uint32)).astype(np.int64)
+            if at + PIECE >= size:
+                letters = np.append(letters, _GAP)
+            gap = letters == _GAP
+            keep = ~gap
+            keep[1:] |= gap[1:] & ~gap[:-1]
+            keep[0] |= carried[-1] != _GAP
+            s = np.concatenate([carried, letters[keep]])
+            grams = _grams(s, gram)
             if len(grams):
                 out.append(np.unique(grams, return_counts=True))
+            carried = s[max(0, len(s) - gram + 1) :] if gram > 1 else s[-1:]
         return out
 
     def bundles(self, texts: list[str | None]) -> np.ndarray:

@@ -10,6 +10,8 @@ rates are stored or exchanged between the steps.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,7 +192,8 @@ def fit_rates(members: DataFrame, shares: list[float]) -> Column:
     """The rate of a row of members, such that expected tokens per domain have the given shares
     of all tokens, or 1 where no share is above 0: accelerated projected gradient steps, whose momentum starts anew whenever the
     residual grows. They are taken in the metric of the tokens and scaled by the domains' own
-    products, so that a step length of 1 is always safe."""
+    products, so that a step length of 1 is always safe. The rate is that after the best step;
+    a warning tells shares that it misses by more than TOLERANCE."""
     k = len(shares)
     p = [F.col(f"p{i}") for i in range(k)]
     products = members.agg(
@@ -205,6 +208,7 @@ def fit_rates(members: DataFrame, shares: list[float]) -> Column:
 
     steps: list[tuple[float, np.ndarray]] = []
     age, last, best, best_at = 1.0, np.inf, np.inf, 0
+    least, least_at, missed = np.inf, 0, goal
     for _ in range(MOST_STEPS):
         following = (1 + np.sqrt(1 + 4 * age * age)) / 2
         momentum = (age - 1) / following
@@ -214,6 +218,8 @@ def fit_rates(members: DataFrame, shares: list[float]) -> Column:
         sums = drawn.agg(*(F.sum(F.col(c) * x) for c in ("now", "ahead") for x in p)).first()
         at, further = np.array([float(x) for x in sums]).reshape(2, k) / total - goal
         worst = float(np.abs(at).max())
+        if worst < least:
+            least, least_at, missed = worst, len(steps), at
         if worst < 0.99 * best:
             best, best_at = worst, len(steps)
         if worst < TOLERANCE or len(steps) - best_at >= 12:
@@ -223,7 +229,10 @@ def fit_rates(members: DataFrame, shares: list[float]) -> Column:
             age, momentum, further, following = 1.0, 0.0, at, (1 + np.sqrt(5)) / 2
         last, age = off, following
         steps.append((momentum, inverse @ further))
-    return _rate(steps, k)
+    if least > TOLERANCE:
+        off_by = ", ".join(f"{x:+.2g}" for x in missed)
+        warnings.warn(f"the mix misses its shares {goal.tolist()} by {off_by}", stacklevel=2)
+    return _rate(steps[:least_at], k)
 
 
 def rates(

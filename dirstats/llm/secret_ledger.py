@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from dirstats.llm.scratch import new_path
+from dirstats.llm.scratch import new_path, written
 
 
 @dataclass(frozen=True)
@@ -149,22 +149,19 @@ def scan_secrets(
     spark = docs.sparkSession
     ledger = ledger or new_path(spark, "secret-ledger")
     texts = docs.select(
-        F.col("doc_id"),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     ).withColumn("blob", F.sha2(F.col("text"), 256))
-    paths = texts.select("doc_id", "key", "blob")
-    todo = paths.groupBy("blob").agg(F.min("key").alias("key"))
+    # one text per blob, whatever ids its rows have; a task sends each of its blobs once
+    todo = texts.groupBy("blob").agg(F.first("text").alias("text"))
     known = _ledger(docs, ledger, rules)
     if known is not None:
-        todo = todo.join(known, "blob", "left_anti")
-    found = (
-        texts.join(todo, ["key", "blob"], "left_semi")
-        .select("blob", "text")
-        .mapInArrow(_scanner(rules), _schema(rules))
-    )
+        todo = todo.join(known.select("blob"), "blob", "left_anti")
+    found = todo.select("blob", "text").mapInArrow(_scanner(rules), _schema(rules))
     found.write.mode("append").parquet(f"{ledger}/rules={rule_version(rules)}")
-    return paths.join(_ledger(docs, ledger, rules), "blob").select("doc_id", *_schema(rules).names)
+    # from a table, so that both sides are dealt out right below the join and a blob that very
+    # many rows share can be split
+    findings = written(_ledger(docs, ledger, rules), "findings")
+    return texts.select("doc_id", "blob").join(findings, "blob").select("doc_id", *_schema(rules).names)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", ledger: str | None = None) -> DataFrame:
