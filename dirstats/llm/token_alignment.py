@@ -33,12 +33,14 @@ from dirstats.llm.scratch import written
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes tokenised at a time (a longer text alone), and in a block that asks for its pairs.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 BLOCK_BYTES = 48 << 20
 #: Tokens held in remembered windows; beyond that the memory starts anew.
-KEPT_TOKENS = 4_000_000
+KEPT_TOKENS = 2_000_000
 #: Words whose pieces are remembered; beyond that the memory starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
+#: Linked pairs of texts that a block gathers before it adds them up.
+WAITING_PAIRS = 1_000_000
 #: Power of two: slices of the pairs.
 SLICE_BITS = 10
 #: Links of a group that are listed one by one; larger groups are counted by distinct ids.
@@ -497,7 +499,7 @@ def _align(byte_bpe: str, piece_bpe: str):
                 )
                 waiting.append(pair)
                 size += sum(len(t or "") for t in texts)
-                if sum(map(len, waiting)) > 4_000_000:
+                if sum(map(len, waiting)) > WAITING_PAIRS:
                     settle()
                 if size > BLOCK_BYTES:
                     yield ask()
