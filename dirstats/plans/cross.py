@@ -15,13 +15,6 @@ from ..operators.joins import missing_keys
 LATITUDE_RANGE = (12.7, 13.3)
 LONGITUDE_RANGE = (77.3, 77.9)
 
-# Coordinates set by hand, which win over resolved ones.
-MANUAL_COORDINATES = (
-    ("ITPL Main Road, Whitefield", 12.9857, 77.7367),
-    ("Rammurthy Nagar", 13.0159, 77.6785),
-    ("Sadashiv Nagar", 13.0068, 77.5813),
-)
-
 
 def distinct_locations(df: DataFrame, column: str = "location") -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
