@@ -1,17 +1,24 @@
-"""Language-model scores from a weighted backoff automaton of smoothed n-grams.
+"""Language-model scores from a weighted backoff automaton of smoothed n-grams of up to three words.
 
-The model has a state for every known word and a root. The arc from state v over word w weighs
-log P(w | v) = log((c(vw) + m P(w)) / (c(v) + m)) where v was followed by w in the training
-texts; all other words leave v by its failure arc, which weighs log(m / (c(v) + m)) and leads to
-the root, where every word has an arc of weight log P(w) = log((c(w) + 1) / (N + V + 1)). So the
-probabilities that leave a state sum to 1. A text starts in the state of the end token, and
-after each token the traversal stands in that token's state, or in the root if it is unknown.
+States are known histories: a root for the empty one, one per known word, one per known pair of
+words. The arc of a state over a word that followed its history in the training texts weighs
+
+    log P(w)      = log((c(w) + 1) / (N + V + 1))                   from the root, for every word
+    log P(w | v)  = log((c(vw) + m2 P(w)) / (c(v) + m2))            from the state of v
+    log P(w | uv) = log((c(uvw) + m3 P(w | v)) / (c(uv) + m3))      from the state of uv
+
+and leads to the longest known history that the text then ends with. All other words leave a
+state by its failure arc, of weight log(m / (c(history) + m)), to the state of the history without
+its first word, where the same word is tried again. So the probabilities that leave a state sum
+to 1. A text starts in the state of the end token, and one traversal from left to right carries
+the state and adds up what it passes.
 
 How it is spread: the counts of all n-grams are far too many for one machine, so nobody holds the
 automaton whole. A block of documents needs only the arcs that its own texts can take. It sends
 its distinct n-grams with its training counts to hash ranges; a range adds up what all blocks
 have sent and returns each block the totals it asked for, with the range's part of N and V; the
-block then holds its cut of the automaton and traverses its texts. Texts are shuffled once.
+block then holds its cut of the automaton and traverses its texts. Texts are shuffled once; keys
+travel as gaps of their sorted order and counts as bytes.
 """
 
 from __future__ import annotations
@@ -27,8 +34,9 @@ from dirstats.llm import wordhash
 from dirstats.llm.scratch import block_count
 
 U = np.uint64
-#: Weight, in observations, of the next lower order (m above).
-STRENGTH = 60.0
+#: Weights, in observations, of the next lower order for pairs and triples (m2 and m3 above).
+STRENGTHS = (60.0, 15.0)
+ORDER = 3
 END = U(0x5EED5EED5EED5EED)
 _LEFT, _RIGHT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -47,11 +55,15 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, bounds[1:], END), bounds + np.arange(n + 1)
 
 
-def _bigrams(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; the first of a text follows an end token."""
-    before = np.roll(tokens, 1)
-    before[bounds[:-1]] = END
-    return wordhash.mix(before * _LEFT ^ wordhash.mix(tokens + _RIGHT))
+def _longer(tokens: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
+    """Per token the hash of the n-gram of this order that it ends. A text's first pair begins
+    with the end token; its first triple would begin before that, and is the pair instead."""
+    grams = tokens
+    for _ in range(order - 1):
+        before = np.roll(grams, 1)
+        before[bounds[:-1]] = END
+        grams = wordhash.mix(before * _LEFT ^ wordhash.mix(tokens + _RIGHT))
+    return grams
 
 
 def _block(table: pa.Table):
@@ -62,34 +74,73 @@ def _block(table: pa.Table):
         yield rows, *_tokens(table.column("text").take(pa.array(rows)))
 
 
+def _joined(parts, kind) -> np.ndarray:
+    return np.concatenate([*parts, np.zeros(0, kind)])
+
+
 def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     edges = np.array([(k << 64) // ranges for k in range(1, ranges)], dtype=np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
-def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of all parts, and how often each stands in a training text."""
-    keys = np.concatenate([k for k, _ in parts] + [np.zeros(0, U)])
-    train = np.concatenate([t for _, t in parts] + [np.zeros(0, bool)])
-    uniq, where = np.unique(keys, return_inverse=True)
-    return uniq, np.bincount(where[train], minlength=len(uniq)).astype(np.uint32)
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each stands there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and how often each stands in a training text."""
+    every, _ = _runs(keys)
+    seen, times = _runs(keys[train])
+    counts = np.zeros(len(every), np.int64)
+    counts[np.searchsorted(every, seen)] = times
+    return every, counts
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their gaps in six bytes each, or as they are where a gap needs more."""
+    gaps = np.diff(keys)
+    if not len(keys) or (len(gaps) and gaps.max() >= U(1 << 48)):
+        return b"8" + keys.astype("<u8").tobytes()
+    low = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return b"6" + keys[:1].astype("<u8").tobytes() + low.tobytes()
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    if packed[:1] == b"8":
+        return np.frombuffer(packed, "<u8", offset=1).astype(U)
+    low = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, 6)
+    gaps = np.zeros((len(low) + 1, 8), np.uint8)
+    gaps[0] = np.frombuffer(packed[1:9], np.uint8)
+    gaps[1:, :6] = low
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=U)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte per count; those from 255 on follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(packed, np.uint8, count=n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed[n:], "<i8")
+    return counts
 
 
 def _ask(ranges: int):
     def ask(key, texts):
         held = _held_out(texts.column("doc_id"))
-        single, double = [], []
-        for rows, tokens, bounds in _block(texts):
-            train = np.repeat(~held[rows], np.diff(bounds))
-            single.append((tokens, train))
-            double.append((_bigrams(tokens, bounds), train))
+        slices = list(_block(texts))
+        train = _joined((np.repeat(~held[r], np.diff(b)) for r, _, b in slices), bool)
         columns = {}
-        for name, parts in (("w", single), ("b", double)):
-            keys, counts = _counted(parts)
+        for order in range(1, ORDER + 1):
+            keys, counts = _counted(_joined((_longer(t, b, order) for _, t, b in slices), U), train)
             cut = _cuts(keys, ranges)
             pieces = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            columns[f"{name}_keys"] = pa.array([keys[p].tobytes() for p in pieces], pa.binary())
-            columns[f"{name}_counts"] = pa.array([counts[p].tobytes() for p in pieces], pa.binary())
+            columns[f"keys{order}"] = pa.array([_pack_keys(keys[p]) for p in pieces], pa.binary())
+            columns[f"counts{order}"] = pa.array([_pack_counts(counts[p]) for p in pieces], pa.binary())
         return pa.table(
             {
                 "range": pa.array(range(ranges), pa.int32()),
@@ -101,72 +152,115 @@ def _ask(ranges: int):
     return ask
 
 
-def _totals(requests: pa.Table, name: str) -> tuple[list[bytes], int, int]:
+def _totals(requests: pa.Table, order: int) -> tuple[list[bytes], int, int]:
     """For each request the totals of its keys; the sum of all counts and the keys counted."""
-    blobs = requests.column(f"{name}_keys").to_pylist()
-    keys = np.concatenate([np.frombuffer(x, U) for x in blobs])
-    counts = np.concatenate(
-        [np.frombuffer(x, np.uint32) for x in requests.column(f"{name}_counts").to_pylist()]
-    )
-    uniq, where = np.unique(keys, return_inverse=True)
+    parts = [_unpack_keys(x) for x in requests.column(f"keys{order}").to_pylist()]
+    sizes = [len(p) for p in parts]
+    packed = requests.column(f"counts{order}").to_pylist()
+    counts = _joined((_unpack_counts(c, k) for c, k in zip(packed, sizes, strict=True)), np.int64)
+    uniq, where = np.unique(_joined(parts, U), return_inverse=True)
     sums = np.bincount(where, weights=counts, minlength=len(uniq)).astype(np.int64)
-    wide = sums.astype(np.uint32) if not len(sums) or sums.max() < 2**32 else sums
-    kind = b"4" if wide.dtype == np.uint32 else b"8"
-    pieces = np.split(wide[where], np.cumsum([len(x) // 8 for x in blobs])[:-1])
-    return [kind + p.tobytes() for p in pieces], int(sums.sum()), int((sums > 0).sum())
+    pieces = np.split(sums[where], np.cumsum(sizes)[:-1])
+    return [_pack_counts(p) for p in pieces], int(sums.sum()), int((sums > 0).sum())
 
 
 def _answer(requests):
-    words, n, v = _totals(requests, "w")
-    pairs, _, _ = _totals(requests, "b")
-    rows = requests.num_rows
+    columns, n, v = {}, 0, 0
+    for order in range(1, ORDER + 1):
+        totals, times, distinct = _totals(requests, order)
+        columns[f"totals{order}"] = pa.array(totals, pa.binary())
+        if order == 1:
+            n, v = times, distinct
     return pa.table(
         {
             "block": requests.column("block"),
             "range": requests.column("range"),
-            "words": pa.array(words, pa.binary()),
-            "pairs": pa.array(pairs, pa.binary()),
-            "n": pa.array([n] * rows, pa.int64()),
-            "v": pa.array([v] * rows, pa.int64()),
+            **columns,
+            "n": pa.array([n] * requests.num_rows, pa.int64()),
+            "v": pa.array([v] * requests.num_rows, pa.int64()),
         }
     )
 
 
-def _joined(answers: pa.Table, name: str) -> np.ndarray:
-    parts = [
-        np.frombuffer(x[1:], np.uint32 if x[:1] == b"4" else np.int64).astype(np.float64)
-        for x in answers.column(name).to_pylist()
-    ]
-    return np.concatenate([*parts, np.zeros(0)])
-
-
-def _score(strength: float):
+def _count_of_each(keys: np.ndarray, answers: list[bytes]) -> np.ndarray:
+    """Per key its training count, from the answers in the order of their ranges."""
+    uniq, where = np.unique(keys, return_inverse=True)
+    sizes = np.diff(_cuts(uniq, len(answers))).tolist()
+    totals = [_unpack_counts(a, k) for a, k in zip(answers, sizes, strict=True)]
+    return _joined(totals, np.int64)[where]
+
+
+def _traverse(level: int, root, pair_arc, triple_arc, word_fails, pair_fails, known) -> float:
+    """The weight of one text's path. Per token: the arc weights of root, word state and pair
+    state over it (None: no such arc), the failure weights of the states of the one and two words
+    before it, and whether it has a state. level is the words of history that the state holds."""
+    total = 0.0
+    for at_root, at_word, at_pair, word_fail, pair_fail, has_state in zip(
+        root, pair_arc, triple_arc, word_fails, pair_fails, known, strict=True
+    ):
+        if level == 2:
+            if at_pair is not None:  # the pair that the triple ends with is known as well
+                total += at_pair
+                continue
+            total += pair_fail
+            level = 1
+        if level == 1:
+            if at_word is not None:
+                total += at_word
+                level = 2
+                continue
+            total += word_fail
+        total += at_root
+        level = 1 if has_state else 0
+    return total
+
+
+def _arcs(weights: np.ndarray, there: np.ndarray) -> list:
+    found = weights.astype(object)
+    found[~there] = None
+    return found.tolist()
+
+
+def _score(strengths: tuple[float, float]):
     def score(texts, answers):
         answers = answers.sort_by("range")
         held = _held_out(texts.column("doc_id"))
         n, v = sum(answers.column("n").to_pylist()), sum(answers.column("v").to_pylist())
         slices = list(_block(texts))
-        words = np.unique(np.concatenate([t for _, t, _ in slices]))
-        pairs = np.unique(np.concatenate([_bigrams(t, b) for _, t, b in slices]))
-        word_count, pair_count = _joined(answers, "words"), _joined(answers, "pairs")
-        at_root = np.log10((word_count + 1) / (n + v + 1))
-        failure = np.log10(strength / (word_count + strength))
-        end = int(np.searchsorted(words, END))
+        counts = [
+            _count_of_each(
+                _joined((_longer(t, b, order) for _, t, b in slices), U),
+                answers.column(f"totals{order}").to_pylist(),
+            )
+            for order in range(1, ORDER + 1)
+        ]
+        ends = counts[0][np.concatenate([t for _, t, _ in slices]) == END][0]
         out = {c: np.zeros(texts.num_rows) for c in ("base_score", "score", "n_tokens", "n_known")}
+        at = 0
         for rows, tokens, bounds in slices:
-            word = np.searchsorted(words, tokens)
-            state = np.roll(word, 1)  # where the traversal stands before each token
-            state[bounds[:-1]] = end
-            both = pair_count[np.searchsorted(pairs, _bigrams(tokens, bounds))]
-            arc = np.log10(
-                (both + strength * 10 ** at_root[word]) / (word_count[state] + strength)
-            )
-            step = np.where(both > 0, arc, failure[state] + at_root[word])
+            one, two, three = (c[at : at + len(tokens)].astype(np.float64) for c in counts)
+            at += len(tokens)
             starts = bounds[:-1]
-            out["base_score"][rows] = np.add.reduceat(at_root[word], starts)
-            out["score"][rows] = np.add.reduceat(step, starts)
+            before, pair_before = np.roll(one, 1), np.roll(two, 1)
+            before[starts], pair_before[starts], three[starts] = ends, 0, 0
+            p = (one + 1) / (n + v + 1)
+            p_word = (two + strengths[0] * p) / (before + strengths[0])
+            p_pair = (three + strengths[1] * p_word) / (pair_before + strengths[1])
+            root = np.log10(p)
+            paths = [
+                root.tolist(),
+                _arcs(np.log10(p_word), two > 0),
+                _arcs(np.log10(p_pair), three > 0),
+                np.log10(strengths[0] / (before + strengths[0])).tolist(),
+                np.log10(strengths[1] / (pair_before + strengths[1])).tolist(),
+                (one > 0).tolist(),
+            ]
+            first = 1 if ends else 0
+            for row, a, b in zip(rows.tolist(), starts.tolist(), bounds[1:].tolist(), strict=True):
+                out["score"][row] = _traverse(first, *(x[a:b] for x in paths))
+            out["base_score"][rows] = np.add.reduceat(root, starts)
             out["n_tokens"][rows] = np.diff(bounds)
-            out["n_known"][rows] = np.add.reduceat((word_count[word] > 0).astype(np.int64), starts)
+            out["n_known"][rows] = np.add.reduceat((one > 0).astype(np.int64), starts)
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),
@@ -194,7 +288,7 @@ def _blocked(docs: DataFrame, blocks: int) -> DataFrame:
     return numbered.withColumn("block", block)
 
 
-def lm_scores(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
+def lm_scores(docs: DataFrame, strengths: tuple[float, float] = STRENGTHS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known (tokens seen
     in training), train_tokens (N), base_score (add-one unigram) and score (of the automaton),
     both log10 probabilities of the whole text.
@@ -205,20 +299,21 @@ def lm_scores(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     lower-cased, compared as 64-bit hashes. Other columns are ignored. Without training texts
     all words are unknown and equally likely.
     """
-    blocks = block_count(docs)
+    blocks, orders = block_count(docs), range(1, ORDER + 1)
     texts = _blocked(docs, blocks).repartition(blocks, "block")
     asked = texts.groupBy("block").applyInArrow(
         _ask(blocks),
-        "range int, block int, w_keys binary, w_counts binary, b_keys binary, b_counts binary",
+        "range int, block int, " + ", ".join(f"keys{k} binary, counts{k} binary" for k in orders),
     )
     answers = asked.groupBy("range").applyInArrow(
-        _answer, "block int, range int, words binary, pairs binary, n long, v long"
+        _answer,
+        "block int, range int, " + "".join(f"totals{k} binary, " for k in orders) + "n long, v long",
     )
     return (
         texts.groupBy("block")
         .cogroup(answers.groupBy("block"))
         .applyInArrow(
-            _score(strength),
+            _score(strengths),
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
             "base_score double, score double",
         )

@@ -290,27 +290,73 @@ def test_secret_ledger(spark, documents, tmp_path):
     assert secret_ledger.scan_secrets(clean).where("spans <> ''").isEmpty()
 
 
+def model_by_hand(train):
+    """Probabilities of a token after the two before it, and of whole texts, from lists of tokens."""
+
+    def grams(t, k):
+        return zip(*(["\n", *t][j:] for j in range(k)), strict=False)
+
+    one = collections.Counter(w for t in train for w in t)
+    two, three = (collections.Counter(g for t in train for g in grams(t, k)) for k in (2, 3))
+    n, v, (m2, m3) = one.total(), len(one), backoff_lm.STRENGTHS
+
+    def given(w, before=None, earlier=None):
+        low = (one[w] + 1) / (n + v + 1)
+        mid = (two[before, w] + m2 * low) / (one[before] + m2) if before else low
+        return (three[earlier, before, w] + m3 * mid) / (two[earlier, before] + m3) if earlier else mid
+
+    def score(t):
+        first = math.log10(given(t[0], "\n"))
+        return first + sum(math.log10(given(w, b, a)) for a, b, w in grams(t, 3))
+
+    return one, given, score
+
+
 def test_backoff_model_adds_up(documents, odd, nobody):
     rows = documents.collect()
     held = {r.doc_id: binascii.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows}
     tokens = {r.doc_id: [*re.findall(SPACE, lower(r.text)), "\n"] for r in rows}
-    one = collections.Counter(w for i, t in tokens.items() if not held[i] for w in t)
-    two = collections.Counter(p for i, t in tokens.items() if not held[i] for p in zip(["\n", *t], t))
-    n, v, m = sum(one.values()), len(one), backoff_lm.STRENGTH
+    one, given, score = model_by_hand([t for i, t in tokens.items() if not held[i]])
     for r in backoff_lm.lm_scores(documents).collect():
         t = tokens[r.doc_id]
-        low = [(one[w] + 1) / (n + v + 1) for w in t]
-        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(t), n)
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(t), one.total())
         assert r.n_known == sum(one[w] > 0 for w in t)
-        assert r.base_score == pytest.approx(sum(map(math.log10, low)), rel=1e-9)
-        pairs = zip(["\n", *t], t, low, strict=False)
-        score = sum(math.log10((two[a, b] + m * p) / (one[a] + m)) for a, b, p in pairs)
-        assert r.score == pytest.approx(score, rel=1e-9)
+        assert r.base_score == pytest.approx(sum(math.log10(given(w)) for w in t), rel=1e-9)
+        assert r.score == pytest.approx(score(t), rel=1e-9)
     found = {r.doc_id: r for r in backoff_lm.lm_scores(odd).collect()}
     assert len(found) == len(ODD) and found[0].n_tokens == found[1].n_tokens == 1
     assert backoff_lm.lm_scores(nobody).count() == 0
 
 
+def test_backoff_states_and_failure_arcs(spark):
+    """What leaves a state sums to 1, and unknown words and histories fail step by step."""
+    texts = ["a b c", "a b d", "b c", "A B", None, "", "a b c"]
+    ids = [i for i in range(100) if binascii.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    held = next(i for i in range(100) if binascii.crc32(str(i).encode()) % 7 == 2)
+    one, given, score = model_by_hand([[*lower(t).split(), "\n"] for t in texts])
+    asked = [f"{a} {b} {c} {d}" for a in "abz" for b in "bcz" for c in "acz" for d in "bdz"] + ["a b c", "", "z"]
+    found = backoff_lm.lm_scores(docs_of(spark, [*texts, *asked], [*ids, *[held] * len(asked)])).collect()
+    want = [score([*lower(t).split(), "\n"]) for t in [*texts, *asked]]
+    assert sorted(r.score for r in found) == pytest.approx(sorted(want), rel=1e-9)
+    for before in [(), ("a",), ("z",), ("b", "a"), ("c", "b"), ("z", "a"), ("a", "z"), ("a", "\n")]:
+        assert sum(given(w, *before) for w in [*one, "z"]) == pytest.approx(1)
+    alone = backoff_lm.lm_scores(docs_of(spark, ["a b", None], [held, None])).collect()
+    assert {(r.train_tokens, r.n_known, r.score) for r in alone} == {(0, 0, 0.0)}
+
+
+@pytest.mark.parametrize("top", [1, 60, 2**20, 2**63])
+def test_packed_keys_and_counts_come_back(top):
+    rng = np.random.default_rng(top)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+        assert np.array_equal(backoff_lm._unpack_keys(backoff_lm._pack_keys(keys)), keys)
+        counts = rng.integers(0, 600, n) * rng.integers(0, 2**40, n) ** rng.integers(0, 2, n)
+        assert np.array_equal(backoff_lm._unpack_counts(backoff_lm._pack_counts(counts), n), counts)
+    last = np.array([0, 2**48 - 1, 2**49, 2**64 - 1], dtype=np.uint64)
+    for keys in (last[:2], last[1:3], last):
+        assert np.array_equal(backoff_lm._unpack_keys(backoff_lm._pack_keys(keys)), keys)
+
+
 def test_language_profiles(spark, documents, odd, nobody):
     lang = {r.doc_id: r.lang for r in documents.collect()}
     found = language_id.identify(documents).collect()
