@@ -17,16 +17,18 @@ How it is spread: the counts of all n-grams are far too many for one machine, so
 automaton whole. A block of documents needs only the arcs that its own texts can take. It sends
 its distinct n-grams with its training counts to hash ranges; a range adds up what all blocks
 have sent and returns each block the totals it asked for, with the range's part of N and V; the
-block then holds its cut of the automaton and traverses its texts. Texts are shuffled once; keys
-travel as gaps of their sorted order and counts as bytes.
+block then holds its cut of the automaton and traverses its texts. Texts are shuffled once, each
+compressed by itself; keys travel as gaps of their sorted order and counts as compressed bytes.
 """
 
 from __future__ import annotations
 
 import binascii
+import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,12 +68,26 @@ def _longer(tokens: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
     return grams
 
 
+def _squeeze(batches):
+    """The same rows with each text compressed."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        small = pa.array([packer.compress(t.encode()) for t in texts], pa.binary())
+        names = batch.schema.names
+        yield pa.RecordBatch.from_arrays(
+            [small if c == "text" else batch.column(c) for c in names], names=names
+        )
+
+
 def _block(table: pa.Table):
     """Slices of the block's texts in a fixed order: (row numbers, tokens, bounds)."""
+    unpacker = zstandard.ZstdDecompressor()
     order = np.lexsort((table.column("row_id").to_numpy(),))
     for at in range(0, len(order), 512):
         rows = order[at : at + 512]
-        yield rows, *_tokens(table.column("text").take(pa.array(rows)))
+        texts = [unpacker.decompress(t) for t in table.column("text").take(pa.array(rows)).to_pylist()]
+        yield rows, *_tokens(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
 
 
 def _joined(parts, kind) -> np.ndarray:
@@ -99,33 +115,45 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return every, counts
 
 
+def _shrunk(some: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(some).tobytes(), codec="zstd", asbytes=True)
+
+
+def _grown(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+
+
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their gaps in six bytes each, or as they are where a gap needs more."""
+    """Sorted keys as their number, the first, and the gaps: five low bytes each and a compressed
+    sixth. They stay as they are where a gap needs more."""
     gaps = np.diff(keys)
     if not len(keys) or (len(gaps) and gaps.max() >= U(1 << 48)):
         return b"8" + keys.astype("<u8").tobytes()
-    low = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return b"6" + keys[:1].astype("<u8").tobytes() + low.tobytes()
+    planes = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    head = b"6" + struct.pack("<QQ", len(gaps), int(keys[0]))
+    return head + planes[:, :5].tobytes() + _shrunk(planes[:, 5])
 
 
 def _unpack_keys(packed: bytes) -> np.ndarray:
     if packed[:1] == b"8":
         return np.frombuffer(packed, "<u8", offset=1).astype(U)
-    low = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, 6)
-    gaps = np.zeros((len(low) + 1, 8), np.uint8)
-    gaps[0] = np.frombuffer(packed[1:9], np.uint8)
-    gaps[1:, :6] = low
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=U)
+    n, first = struct.unpack_from("<QQ", packed, 1)
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :5] = np.frombuffer(packed, np.uint8, 5 * n, 17).reshape(-1, 5)
+    planes[:, 5] = _grown(packed[17 + 5 * n :], n)
+    return np.cumsum(np.concatenate([np.array([first], U), planes.view("<u8").ravel()]), dtype=U)
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    """A byte per count; those from 255 on follow in full."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    """A byte per count, compressed, after those from 255 on in full."""
+    large = counts[counts >= 255].astype("<i8")
+    return struct.pack("<Q", len(large)) + large.tobytes() + _shrunk(np.minimum(counts, 255).astype(np.uint8))
 
 
 def _unpack_counts(packed: bytes, n: int) -> np.ndarray:
-    counts = np.frombuffer(packed, np.uint8, count=n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(packed[n:], "<i8")
+    (many,) = struct.unpack_from("<Q", packed)
+    counts = _grown(packed[8 + 8 * many :], n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed, "<i8", many, 8)
     return counts
 
 
@@ -277,15 +305,17 @@ def _score(strengths: tuple[float, float]):
 
 
 def _blocked(docs: DataFrame, blocks: int) -> DataFrame:
-    """Rows with the block that scores them: by their id and number, as very many rows can have
-    the same id or none."""
+    """Rows with their text compressed, and the block that scores them: by their id and number,
+    as very many rows can have the same id or none."""
     numbered = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     block = F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(blocks)).cast("int")
-    return numbered.withColumn("block", block)
+    return numbered.withColumn("block", block).mapInArrow(
+        _squeeze, "doc_id long, row_id long, text binary, block int"
+    )
 
 
 def lm_scores(docs: DataFrame, strengths: tuple[float, float] = STRENGTHS) -> DataFrame:
