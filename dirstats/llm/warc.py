@@ -467,24 +467,51 @@ def enable(spark: SparkSession) -> None:
 
 def with_roles(pages: DataFrame, from_bytes: int = 0) -> DataFrame:
     """The rows a WARC is written from: of pages with equal payloads of at least from_bytes
-    bytes those with the least page_id are responses and the others revisit it. A null html is
-    an empty payload; a null page_id is a response only if no equal payload has an id."""
+    bytes the one with the least page_id is the response and the others revisit it; of several
+    rows with that page_id one is the response. A null html is an empty payload. A null page_id
+    is a response only if no equal payload has an id, as a revisit could not name it.
+
+    Rows are told apart by number, so pages must read alike twice, as a table does. Payloads are
+    shuffled by that number; digests are compared without them. Equal digests meet only within
+    their part of the input: of all parts that hold a digest, one row each is compared.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")
-    ).withColumn("digest", F.sha1("payload"))
-    firsts = (
+        F.monotonically_increasing_id().alias("row_id"),
+        F.col("page_id").cast("long").alias("page_id"),
+        "url",
+        payload.alias("payload"),
+    )
+    named = (
         rows.where(F.octet_length("payload") >= from_bytes)
-        .groupBy("digest")
-        .agg(F.min("page_id").alias("first"))
+        .select(
+            F.unhex(F.sha1("payload")).alias("digest"),
+            F.shiftright("row_id", 33).alias("part"),
+            "page_id",
+            "row_id",
+        )
+        .repartition("digest", "part")
+    )
+    rank = F.struct(F.col("page_id").isNull(), "page_id", "row_id")
+    in_parts = named.groupBy("digest", "part").agg(F.min(rank).alias("least"), F.count("*").alias("n"))
+    firsts = (
+        in_parts.groupBy("digest")
+        .agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.collect_list("part").alias("parts"))
+        .where("n > 1 and least.page_id is not null")
+        .select("digest", F.explode("parts").alias("part"), "least.page_id", "least.row_id")
+        .toDF("digest", "part", "first", "response")
+    )
+    again = (
+        named.join(firsts, ["digest", "part"])
+        .where("row_id <> response")
+        .select("row_id", "first", F.lit("revisit").alias("role"))
     )
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(firsts, "digest", "left").select(
+    return rows.join(again, "row_id", "left").select(
         "page_id",
         "url",
         "payload",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first")).alias("refers_to"),
+        F.coalesce("role", F.lit("response")).alias("record_type"),
+        F.col("first").alias("refers_to"),
         F.lit("2020-01-01T00:00:00Z").alias("date"),
     )
 

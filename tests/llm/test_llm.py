@@ -486,6 +486,44 @@ def test_warc_round_trip(spark, sf_dir, tmp_path):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_one_response_per_payload(spark):
+    """Ties, clashing columns and a very long payload."""
+    rows = [(1, "a"), (1, "a"), (2, "a"), (None, "a"), (None, "n"), (None, "n"), (3, LONG * 20), (4, LONG * 20)]
+    pages = spark.createDataFrame(
+        [(k, "u", h, "x", "y", "z") for k, h in rows],
+        "page_id long, url string, html string, payload string, record_type string, digest string",
+    ).repartition(3)
+    found = warc.round_trip(pages).select("page_id", "record_type", "refers_to", "payload_bytes").collect()
+    long = len(LONG) * 20
+    want = [(1, "response", None, 1), (1, "revisit", 1, 1), (2, "revisit", 1, 1), (None, "revisit", 1, 1)]
+    want += [(None, "response", None, 1)] * 2 + [(3, "response", None, long), (4, "revisit", 3, long)]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+    short = warc.with_roles(pages, 2).groupBy("record_type").count().collect()
+    assert {r["record_type"]: r["count"] for r in short} == {"response": 7, "revisit": 1}
+
+
+def test_a_hot_payload_is_spread(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        html = F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string"))
+        pages = spark.range(0, 12_000, 1, 16).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+        roles = warc.with_roles(pages)
+        sizes = sorted(r["count"] for r in roles.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 12_000 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+        kinds = roles.groupBy("record_type", "refers_to").count().collect()
+        assert {tuple(r) for r in kinds} == {("response", None, 8001), ("revisit", 0, 3999)}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_warc_of_others(spark, tmp_path):
     """Records without notes of their length, compressed or not, with other record types."""
     import gzip
