@@ -39,6 +39,10 @@ U = np.uint64
 #: Weights, in observations, of the next lower order for pairs and triples (m2 and m3 above).
 STRENGTHS = (60.0, 15.0)
 ORDER = 3
+#: Texts whose words are hashed at a time.
+SLICE = 128
+#: Stands where a state has no arc over a word; the weights themselves are logarithms up to 0.
+NO_ARC = 1.0
 END = U(0x5EED5EED5EED5EED)
 _LEFT, _RIGHT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -84,8 +88,8 @@ def _block(table: pa.Table):
     """Slices of the block's texts in a fixed order: (row numbers, tokens, bounds)."""
     unpacker = zstandard.ZstdDecompressor()
     order = np.lexsort((table.column("row_id").to_numpy(),))
-    for at in range(0, len(order), 512):
-        rows = order[at : at + 512]
+    for at in range(0, len(order), SLICE):
+        rows = order[at : at + SLICE]
         texts = [unpacker.decompress(t) for t in table.column("text").take(pa.array(rows)).to_pylist()]
         yield rows, *_tokens(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
 
@@ -218,22 +222,23 @@ def _count_of_each(keys: np.ndarray, answers: list[bytes]) -> np.ndarray:
     return _joined(totals, np.int64)[where]
 
 
-def _traverse(level: int, root, pair_arc, triple_arc, word_fails, pair_fails, known) -> float:
+def _traverse(level: int, root, word_arcs, pair_arcs, word_fails, pair_fails, known) -> float:
     """The weight of one text's path. Per token: the arc weights of root, word state and pair
-    state over it (None: no such arc), the failure weights of the states of the one and two words
-    before it, and whether it has a state. level is the words of history that the state holds."""
+    state over it (NO_ARC where there is none), the failure weights of the states of the one and
+    two words before it, and whether it has a state. level is the words of history that the
+    first state holds."""
     total = 0.0
     for at_root, at_word, at_pair, word_fail, pair_fail, has_state in zip(
-        root, pair_arc, triple_arc, word_fails, pair_fails, known, strict=True
+        root, word_arcs, pair_arcs, word_fails, pair_fails, known, strict=True
     ):
         if level == 2:
-            if at_pair is not None:  # the pair that the triple ends with is known as well
+            if at_pair != NO_ARC:  # the pair that the triple ends with is known as well
                 total += at_pair
                 continue
             total += pair_fail
             level = 1
         if level == 1:
-            if at_word is not None:
+            if at_word != NO_ARC:
                 total += at_word
                 level = 2
                 continue
@@ -243,12 +248,6 @@ def _traverse(level: int, root, pair_arc, triple_arc, word_fails, pair_fails, kn
     return total
 
 
-def _arcs(weights: np.ndarray, there: np.ndarray) -> list:
-    found = weights.astype(object)
-    found[~there] = None
-    return found.tolist()
-
-
 def _score(strengths: tuple[float, float]):
     def score(texts, answers):
         answers = answers.sort_by("range")
@@ -276,16 +275,16 @@ def _score(strengths: tuple[float, float]):
             p_pair = (three + strengths[1] * p_word) / (pair_before + strengths[1])
             root = np.log10(p)
             paths = [
-                root.tolist(),
-                _arcs(np.log10(p_word), two > 0),
-                _arcs(np.log10(p_pair), three > 0),
-                np.log10(strengths[0] / (before + strengths[0])).tolist(),
-                np.log10(strengths[1] / (pair_before + strengths[1])).tolist(),
-                (one > 0).tolist(),
+                root,
+                np.where(two > 0, np.log10(p_word), NO_ARC),
+                np.where(three > 0, np.log10(p_pair), NO_ARC),
+                np.log10(strengths[0] / (before + strengths[0])),
+                np.log10(strengths[1] / (pair_before + strengths[1])),
+                one > 0,
             ]
             first = 1 if ends else 0
             for row, a, b in zip(rows.tolist(), starts.tolist(), bounds[1:].tolist(), strict=True):
-                out["score"][row] = _traverse(first, *(x[a:b] for x in paths))
+                out["score"][row] = _traverse(first, *(x[a:b].tolist() for x in paths))
             out["base_score"][rows] = np.add.reduceat(root, starts)
             out["n_tokens"][rows] = np.diff(bounds)
             out["n_known"][rows] = np.add.reduceat((one > 0).astype(np.int64), starts)
