@@ -276,11 +276,16 @@ def mix(
 def draw(rows: DataFrame, rate: str = "rate") -> DataFrame:
     """Each row as often as the mix draws it: the whole part of its rate, and once more if a
     number in [0, 1) that a hash of doc_id and text gives is below the rest. Rows of rate 1 and
-    more all stay, and the same input always gives the same rows."""
+    more all stay, and the same input always gives the same rows. A further column copy (named
+    mix_copy where rows have a column copy) numbers the copies of a row from 0. A null rate
+    draws nothing."""
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("draw")), 11) / F.lit(float(1 << 53))
     whole = F.floor(rate)
     times = whole + (chance < F.col(rate) - whole).cast("long")
-    return rows.select("*", F.explode(F.array_repeat(F.lit(True), times.cast("int")))).drop("col")
+    copy = "mix_copy" if "copy" in (c.lower() for c in rows.columns) else "copy"
+    # a sequence from 0 would count down for no copies
+    numbers = F.slice(F.sequence(F.lit(0), times.cast("int")), 1, times.cast("int"))
+    return rows.select("*", F.explode(numbers).alias(copy))
 
 
 def _fitted(docs, labels, targets, train_rows) -> tuple[DataFrame, Column, list[str]]:

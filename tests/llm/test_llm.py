@@ -412,8 +412,11 @@ def test_draw_follows_the_rates(spark):
     rows = [(k if k % 5 else None, f"t{k}", rates[k % 4]) for k in range(8000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rate double")
     drawn = mixing.draw(docs)
-    assert drawn.columns == docs.columns
-    times = collections.Counter(r.text for r in drawn.collect())
+    assert drawn.columns == [*docs.columns, "copy"]
+    assert mixing.draw(docs.withColumn("Copy", F.lit(9))).columns[-2:] == ["Copy", "mix_copy"]
+    found = drawn.collect()
+    times = collections.Counter(r.text for r in found)
+    assert {(r.text, r.copy) for r in found} == {(t, k) for t, n in times.items() for k in range(n)}
     assert times == collections.Counter(r.text for r in mixing.draw(docs.repartition(3)).collect())
     for kind, rate in enumerate(rates):
         each = [times[f"t{k}"] for k in range(kind, 8000, 4)]
