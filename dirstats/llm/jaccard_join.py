@@ -12,8 +12,12 @@ hold a shingle is counted over all documents, in hash ranges that many documents
 counts go back to the blocks of documents that asked. Only a set that shares one of its
 rarest shingles (the prefix) with another set can have a link, so only such sets go on. Sets
 that share prefix shingles form clusters; small clusters are packed into bins and joined in one
-task each. A cluster larger than a bin is cut into blocks: each block is joined in itself, then
-every pair of blocks, as each link counts and not only the first that joins two components.
+task each. A cluster larger than a bin is cut into blocks, in which sets with the same least
+prefix shingle, as near copies mostly have, lie together. Each block is joined in itself. Then a
+set goes to another block only if that holds, for a prefix shingle of the set, a set of a fitting
+size; so where a common passage chains many texts into one cluster, what is sent grows with the
+candidates and not with the square of the cluster. Each link counts, and not only the first that
+joins two components.
 """
 
 from __future__ import annotations
@@ -302,16 +306,31 @@ def _link_across(percent: int):
     return link
 
 
+def _meetings(home: DataFrame, percent: int) -> DataFrame:
+    """(node, block, other): the blocks that hold, in the list of a prefix shingle of the node,
+    a set whose size leaves a link possible. Both sides of a link find each other."""
+    held = home.select("node", "size", "block", F.explode("shared").alias("token"))
+    spans = held.groupBy("token", F.col("block").alias("other")).agg(
+        F.min("size").alias("low_size"), F.max("size").alias("high_size")
+    )
+    fits = (100 * F.col("high_size") >= percent * F.col("size")) & (
+        100 * F.col("size") >= percent * F.col("low_size")
+    )
+    met = held.join(spans, "token").where("block <> other").where(fits)
+    return met.select("node", "block", "other").distinct()
+
+
 def _across(home: DataFrame, percent: int) -> DataFrame:
-    """For every pair of blocks of a cluster, the links that each set has there, and the edge
-    between its label and the label that they give it. A task holds two blocks."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    """For every pair of blocks that meet, the links that each set has there, and the edge
+    between its label and the label that they give it. A task holds at most two blocks, of which
+    only the sets that meet the other block are sent."""
+    met = written(_meetings(home, percent), "meetings")
     return (
-        home.select("node", "tokens", "copies", "label", "cluster", "block", other.alias("other"))
-        .where("block <> other")
+        home.select("node", "tokens", "copies", "label")
+        .join(met, "node")
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
-        .groupBy("cluster", "low", "high")
+        .groupBy("low", "high")
         .applyInArrow(_link_across(percent), "node long, links long, u long, v long")
     )
 
@@ -403,7 +422,7 @@ def jaccard_join(
     their texts are; a row without doc_id counts in links and leads on, but its component_id is
     null. Words are runs of non-space characters with A-Z lower-cased; texts are compared as
     128-bit, shingles as 64-bit hashes. Other columns of docs are ignored. bin_docs is only how
-    many sets one task joins at a time.
+    many sets one task joins at a time, a long set counted as several.
     """
     digests = _digests(docs)
     texts = _texts(docs, digests, shingle_words, percent, bin_docs)
@@ -460,36 +479,69 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _link(sets: DataFrame, bin_docs: int, percent: int) -> DataFrame:
-    """(node, label, links): components and weighted links of the sets in rarity order."""
+#: A set of more shingles counts as several in the size of a bin.
+SET_SHINGLES = 300
+
+
+def _blocks(large: DataFrame, bin_docs: int) -> DataFrame:
+    """(node, bin) for the sets of clusters larger than a bin. Sets with the same least prefix
+    shingle stay together, few of them beside others, many in blocks of their own."""
+    near = large.withColumn("near", F.array_min("shared")).drop("shared")
+    sizes = near.groupBy("cluster", "near").agg(F.sum("load").alias("together"))
+    parts = F.ceil(F.col("together") / bin_docs)
+    beside = F.pmod(F.xxhash64("near"), F.ceil(F.col("m") / bin_docs))
+    apart = F.xxhash64("cluster", "near", F.pmod(F.xxhash64("node"), parts))
+    return near.join(sizes, ["cluster", "near"]).select(
+        "node",
+        F.when(4 * F.col("together") > bin_docs, apart)
+        .otherwise(F.xxhash64("cluster", beside))
+        .alias("bin"),
+    )
+
+
+def _bins(sets: DataFrame, bin_docs: int) -> DataFrame:
+    """(node, bin, large): where each set is joined, and whether its cluster is larger than that.
+    The size of a bin counts sets and their shingles, so that long texts do not fill a task."""
     postings = sets.select("node", F.explode("shared").alias("token"))
     lists = postings.groupBy("token").agg(F.min("node").alias("lead"))
     stars = postings.join(lists, "token").select(F.col("node").alias("u"), F.col("lead").alias("v"))
-    clusters = components(stars).select("node", F.col("component").alias("cluster"))
-    clusters = written(clusters, "clusters")
-    counts = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
-    bins = max(1, -(-clusters.count() // bin_docs))
-    spread = F.when(
-        F.col("m") <= bin_docs, F.pmod(F.xxhash64("cluster"), F.lit(bins))
-    ).otherwise(F.xxhash64("cluster", F.col("block")))
-    placed = (
-        clusters.join(counts, "cluster")
-        .withColumn("blocks", F.ceil(F.col("m") / bin_docs).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("bin", spread)
+    load = F.ceil(F.greatest("size", F.lit(1)) / SET_SHINGLES).alias("load")
+    clusters = written(
+        components(stars)
+        .withColumnRenamed("component", "cluster")
+        .join(sets.select("node", load), "node"),
+        "clusters",
+    )
+    counts = clusters.groupBy("cluster").agg(F.sum("load").alias("m"))
+    total = clusters.agg(F.sum("load")).first()[0] or 0
+    placed = written(clusters.join(counts, "cluster"), "placed")
+    spread = F.when(4 * F.col("m") > bin_docs, F.xxhash64("cluster")).otherwise(
+        F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-total // bin_docs))))
+    )
+    small = placed.where(F.col("m") <= bin_docs).select("node", spread.alias("bin"))
+    large = placed.where(F.col("m") > bin_docs).join(sets.select("node", "shared"), "node")
+    return written(
+        small.withColumn("large", F.lit(False)).unionByName(
+            _blocks(large, bin_docs).withColumn("large", F.lit(True))
+        ),
+        "bins",
     )
-    placed = written(placed, "bins")
+
+
+def _link(sets: DataFrame, bin_docs: int, percent: int) -> DataFrame:
+    """(node, label, links): components and weighted links of the sets in rarity order."""
+    placed = _bins(sets, bin_docs)
     found = written(
         sets.join(placed, "node")
-        .select("node", "tokens", "copies", "bin", (F.col("m") > bin_docs).alias("large"))
+        .select("node", "tokens", "copies", "bin", "large")
         .groupBy("bin", "large")
         .applyInArrow(_link_bin(percent), "node long, label long, links long"),
         "labels",
     )
-    large = placed.where(F.col("m") > bin_docs)
+    large = placed.where("large").select("node", F.col("bin").alias("block"))
     if large.isEmpty():
         return found
-    home = sets.select("node", "tokens", "copies").join(large, "node").join(found, "node")
+    home = sets.join(large, "node").join(found.select("node", "label"), "node")
     across = written(_across(home, percent), "across")
     more = across.groupBy("node").agg(F.sum("links").alias("more"))
     counted = found.join(more, "node", "left").select(

@@ -602,3 +602,26 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path, sf_dir):
     last = corpus_pipeline.STAGES[4][1](spark, docs, sf_dir)
     assert last.where("rate <= 0").isEmpty() and last.count() >= 0.9 * docs.count()
     assert jaccard_join.jaccard_join(docs).where("doc_id <> component_id").isEmpty()
+
+
+def test_a_chained_cluster_sends_sets_only_where_they_meet(spark):
+    """Each text shares one prefix passage with the next, so that all are one cluster, far larger
+    than a bin; two near copies per text are the only links."""
+    rows = []
+    for k in range(60):
+        passage = [f"p{k}_{i}" for i in range(6)] + [f"p{k + 1}_{i}" for i in range(6)]
+        own = [f"o{k}_{i}" for i in range(30 + k % 7)]
+        rows += [" ".join(passage + own), " ".join(passage + own + ["end"])]
+    docs = docs_of(spark, rows)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = jaccard_join.jaccard_join(docs, bin_docs=4).collect()
+    assert {r.doc_id: r.n_links for r in found} == links_by_hand(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == groups_by_hand(texts)
+
+    def home(block):
+        sets = [(1, 10, block[0], [5, 6]), (2, 10, block[1], [6, 7]), (3, 40, block[2], [6]), (4, 9, block[3], [8])]
+        return spark.createDataFrame(sets, "node long, size long, block long, shared array<long>")
+
+    met = jaccard_join._meetings(home([1, 2, 3, 4]), 80).collect()
+    assert sorted(tuple(r) for r in met) == [(1, 1, 2), (2, 2, 1)]
+    assert jaccard_join._meetings(home([1, 1, 1, 1]), 80).isEmpty()
