@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import correlation_strength
 from ..functions.numeric import approx_median, exact_mean, percent, ratio, round_half_up
+from ..sources.staging import write_stage
 from .cumulative import exact_medians, value_counts_of
 from .joins import literal_frame
 
@@ -69,24 +70,27 @@ def _long_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def frequencies(df: DataFrame, tops: dict[str, int | None]) -> DataFrame:
     """Top values of several columns in one long frame, ties by value.
 
-    Columns with a limit share one pass and columns without share another. The
-    limit is a row number filter, which Spark also applies before the shuffle.
+    The table is read once: counts of all columns are written, and columns with a limit and
+    those without are taken from there. So a column without a limit is never ordered in one task.
+    The limit is a row number filter, which Spark also applies before the shuffle.
     """
     limited = {c: top for c, top in tops.items() if top}
     unlimited = [c for c, top in tops.items() if not top]
+    counts = write_stage(_long_counts(df, list(tops)), "frequencies")
     parts = []
     if limited:
         by_count = W.partitionBy("column_name").orderBy(F.desc("row_count"), "value")
-        numbered = _long_counts(df, list(limited)).withColumn("_rn", F.row_number().over(by_count))
         limits = F.create_map(*[F.lit(x) for item in limited.items() for x in item])
-        own_limit = limits[F.col("column_name")]
+        numbered = counts.filter(F.col("column_name").isin(list(limited))).withColumn(
+            "_rn", F.row_number().over(by_count)
+        )
         parts.append(
             numbered.filter(F.col("_rn") <= max(limited.values()))
-            .filter(F.col("_rn") <= own_limit)
+            .filter(F.col("_rn") <= limits[F.col("column_name")])
             .drop("_rn")
         )
     if unlimited:
-        parts.append(_long_counts(df, unlimited))
+        parts.append(counts.filter(F.col("column_name").isin(unlimited)))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -141,7 +141,12 @@ def test_rows_are_not_shuffled_to_a_short_list_of_keys(spark, sf_dir):
 
 def test_frequency_limit_is_applied_before_the_shuffle(spark, sf_dir):
     plan = executed(QUERIES["profile_frequencies"](spark, sf_dir))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "WindowGroupLimit" in plan
+
+
+def test_frequencies_read_the_raw_table_once(spark, sf_dir):
+    plan = executed(QUERIES["profile_frequencies"](spark, sf_dir))
+    assert "lineitem" not in plan and "HashAggregate" not in plan
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
