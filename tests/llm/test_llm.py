@@ -604,19 +604,31 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path, sf_dir):
     assert jaccard_join.jaccard_join(docs).where("doc_id <> component_id").isEmpty()
 
 
-def test_a_chained_cluster_sends_sets_only_where_they_meet(spark):
-    """Each text shares one prefix passage with the next, so that all are one cluster, far larger
-    than a bin; two near copies per text are the only links."""
+def test_a_chained_cluster_sends_sets_only_where_they_meet(spark, monkeypatch):
+    """Each text shares a rare passage with the next, so that all are chained into clusters far
+    larger than a bin; a near copy per text is its only link."""
+    common = " ".join(f"c{i}" for i in range(45))
     rows = []
     for k in range(60):
-        passage = [f"p{k}_{i}" for i in range(6)] + [f"p{k + 1}_{i}" for i in range(6)]
-        own = [f"o{k}_{i}" for i in range(30 + k % 7)]
-        rows += [" ".join(passage + own), " ".join(passage + own + ["end"])]
+        passages = " ".join(f"p{k + j}_{i}" for j in (0, 1) for i in range(6))
+        rows += [f"{passages} {common}", f"{passages} {common} end"]
     docs = docs_of(spark, rows)
+    sizes = []
+    real = jaccard_join._meetings
+
+    def counted(home, percent):
+        met = real(home, percent)
+        sizes.append((home.count(), home.select("block").distinct().count(), met.count()))
+        return met
+
+    monkeypatch.setattr(jaccard_join, "_meetings", counted)
     texts = {r.doc_id: r.text for r in docs.collect()}
     found = jaccard_join.jaccard_join(docs, bin_docs=4).collect()
     assert {r.doc_id: r.n_links for r in found} == links_by_hand(texts)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == groups_by_hand(texts)
+    [(nodes, blocks, sent)] = sizes
+    assert nodes > 60 and blocks > 10 and sent < nodes * blocks / 3
+    monkeypatch.undo()
 
     def home(block):
         sets = [(1, 10, block[0], [5, 6]), (2, 10, block[1], [6, 7]), (3, 40, block[2], [6]), (4, 9, block[3], [8])]
